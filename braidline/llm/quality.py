@@ -251,7 +251,7 @@ def train(labelled: list, pool: list, rounds: int = 3, share: float = 0.1, sure:
     return model
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = 4000, pool: int = 2000) -> Model:
+def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = 6000, pool: int = 2000) -> Model:
     """A model from ``labels`` (id, quality, toxic) and ``docs``. Labels with nulls don't count; of several labels of
     one id the worst holds. Which rows are taken depends on the ids alone."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), (1 - F.col("quality")).alias("low"), F.col("toxic").alias("toxic")).dropna()
@@ -264,7 +264,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled:
     return train([tuple(r) for r in taken.toLocalIterator()], [tuple(r) for r in free.toLocalIterator()])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = 4000, pool: int = 2000, reject_low: float = 0.5, reject_toxic: float = 0.5) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = 6000, pool: int = 2000, reject_low: float = 0.5, reject_toxic: float = 0.3) -> DataFrame:
     """A row for each document row: its id, p_low, p_toxic (rounded to six places) and rejected. Null texts count as
     empty; an empty table gives no rows, and without usable labels nothing is rejected."""
     spark = docs.sparkSession
