@@ -61,4 +61,14 @@ SELECT d.doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_s
 FROM documents d LEFT JOIN agg ON agg.doc_id = d.doc_id
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op4_warc": OP4, "op6_decontamination": OP6, "op9_ngram_join": OP9}
+OP7 = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE isfinite(list_cosine_similarity(a.e, b.e)) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.c FROM r JOIN p ON r.id = p.a),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id), n AS (SELECT a, count(*) AS k FROM p GROUP BY a)
+SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings JOIN m ON m.id = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op4_warc": OP4, "op6_decontamination": OP6, "op7_embedding_dups": OP7, "op9_ngram_join": OP9}

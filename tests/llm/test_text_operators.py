@@ -1,0 +1,151 @@
+"""SentencePiece coding, decontamination, secrets, PII: against the library, brute force and plain regular expressions."""
+
+import hashlib
+import random
+import re
+
+import public_tokenizers
+import pytest
+import sentencepiece
+
+from braidline.llm import decontaminate as dec
+from braidline.llm import secrets as sec
+from braidline.llm.common import sha_hex, span_list
+from braidline.llm.pii import scan_pii
+from braidline.llm.sentencepieces import PieceCoder, encode_texts
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+DOCS = "doc_id long, text string, lang string, n_tokens string, id string, body string"
+
+
+def docs(spark, texts):
+    """A table with columns whose names clash with those that operators use."""
+    return spark.createDataFrame([(k, t, "en", "x", "y", "z") for k, t in enumerate(texts)], DOCS)
+
+
+HARD = [None, "", " ", "  a  b ", "▁x▁▁", "a\n\nb\r\n", "①①  ①", "x" * 3000, " " * 40 + "y", "<s> <0x0A></s>", "日本語 テキスト 🙂", "the the the", "a\x00b"]
+
+
+def test_pieces_match_the_library():
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=MODEL), PieceCoder(MODEL, remembered=500)
+    rng = random.Random(3)
+    letters = "     abcdefghinost\n▁①é.,01ß=_-/<>日本"
+    texts = [t for t in HARD if t is not None] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(2000)] + [" " * n + "a" for n in range(1, 60)]
+    for t in texts:
+        ids = lib.encode(t)
+        assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids)
+        assert own.digest(t) == (len(ids), sha_hex(",".join(map(str, ids))), sha_hex(lib.decode(ids)))
+
+
+def test_encode_texts(spark):
+    got = {r.doc_id: r for r in encode_texts(docs(spark, HARD), MODEL, with_ids=True).collect()}
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for k, t in enumerate(HARD):
+        assert got[k].ids == lib.encode(t or "") and got[k].decoded == lib.decode(got[k].ids) and got[k].n_tokens == len(got[k].ids)
+    assert encode_texts(docs(spark, []), MODEL).count() == 0
+
+
+def hits_by_brute_force(text, items):
+    words = [w.decode() for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())]
+    hit, found = set(), set()
+    for item, body in items:
+        own = [w.decode() for w in re.findall(rb"[0-9a-z\x80-\xff]+", (body or "").encode().lower())]
+        n = min(13, len(own))
+        for window in {tuple(own[k : k + n]) for k in range(len(own) - n + 1)} if n else ():
+            for k in range(len(words) - n + 1):
+                if tuple(words[k : k + n]) == window:
+                    hit.update(range(k, k + n))
+                    found.add(item)
+    return len(words), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("block_bytes", [8_000_000, 60])
+def test_decontaminate(spark, block_bytes):
+    rng = random.Random(5)
+    word = lambda: rng.choice("alpha beta Gamma delta é ö 12 x y z".split())
+    items = [(f"i{k}", " ".join(word() for _ in range(rng.choice([1, 4, 13, 20])))) for k in range(12)] + [("none", None), ("blank", "?!"), ("i0", "alpha beta")]
+    texts = [None, "", "..."]
+    for _ in range(60):
+        t = [word() for _ in range(rng.randint(0, 60))]
+        if rng.random() < 0.5:
+            t[10:10] = (rng.choice(items)[1] or "").split()
+        texts.append(" ".join(t))
+    texts += [None if t is None else t + " " + items[2][1] for t in texts[:10]]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: r for r in dec.decontaminate(docs(spark, texts), bench, block_bytes=block_bytes).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        n, hit, found = hits_by_brute_force(t, items)
+        r = got[k]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, hit, len(found), hit > 0 and 20 * hit >= n)
+        assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
+
+
+def test_decontaminate_repeated_rows_and_empty_tables(spark):
+    bench = spark.createDataFrame([("a", "one two three"), ("b", "four five")], "item_id string, text string")
+    rows = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (1, "four five")], "doc_id long, text string")
+    for size in (8_000_000, 5):
+        assert sorted((r.n_words, r.n_hit) for r in dec.decontaminate(rows, bench, block_bytes=size).collect()) == [(2, 2), (3, 3), (3, 3)]
+    assert dec.decontaminate(rows.limit(0), bench).count() == 0
+    assert {r.n_hit for r in dec.decontaminate(rows, bench.limit(0)).collect()} == {0}
+
+
+SECRETS = [None, "", 'password = "abcdefgh1"', "token:short", "TOKEN: 'x1234567' api_key=ABCDEFGHIJ", "AKIA" + "Z" * 12, "AKIAZ", "f" * 32 + " " + "a" * 31, "é" * 5 + "secret=12345678é" + "0" * 40, "paſſword=12345678", "username=bob secret=abcdefgh host=db.example.com https://h.example/x", "Zq3xR7pLm2Vb9Kt4Wn8y AKIAABCDEFGHIJKL", "Zq3xR7pLm2Vb9Kt4Wn8y", "secret = password = abcdefgh1"]
+
+
+def test_secrets(spark):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    got = {r.doc_id: r for r in sec.scan_secrets(docs(spark, SECRETS)).collect()}
+    for k, t in enumerate(SECRETS):
+        t = t or ""
+        base = [("assign", m.start(), m.end()) for m in assign.finditer(t) if len(m[2]) >= 8]
+        base += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        base += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        r = got[k]
+        assert r.base_sha256 == sha_hex(span_list(base, sec.ORDER))
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[0] == n for s in base) for n in ("assign", "access", "hex")]
+        assert set(span_list(base, sec.ORDER).split(",")) <= set(r.spans.split(","))
+        assert all(t[f.start : f.end] == f.found for f in r.findings)
+    kinds = lambda k: {f.kind for f in got[k].findings}
+    assert kinds(10) == {"assign", "weak_id", "endpoint"}
+    assert kinds(11) == {"access", "weak_secret"} and kinds(12) == set()
+
+
+def luhn(d):
+    return sum(int(c) if k % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_pii(t):
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m[0])) <= 15]
+    return out
+
+
+ORDER = {k: n for n, k in enumerate(("email", "ip", "card", "phone", "remove", "generalise"))}
+
+
+def test_pii_base_against_plain_patterns(spark):
+    rng = random.Random(9)
+    texts = [None, "", "a@b.c_d@e.f..g@h.i.", "1.2.3.4.5.6.7.8 999.1.1.1 01.002.3.255", "4111 1111 1111 1111 x 4111-1111-1111-1112", "1 " * 3000, "1" * 5000, "a." * 3000 + "@x", "x@" + "y." * 3000 + "z", "+49 (30) 123-4567 +1", "é+1 234 567 8901é4111111111111111"]
+    texts += ["".join(rng.choice("ab1234.@+- ()_\né") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    got = {r.doc_id: r for r in scan_pii(docs(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        base = base_pii(t or "")
+        assert got[k].base_sha256 == sha_hex(span_list(base, ORDER)), repr(t)[:100]
+        assert [got[k].n_email, got[k].n_ip, got[k].n_card, got[k].n_phone] == [sum(s[0] == n for s in base) for n in list(ORDER)[:4]]
+
+
+def test_pii_terms_that_give_an_entity_away(spark):
+    texts = [f"Call Zorblatt now at z@corp.example for the memo {k}\nthe weather is the same" for k in range(4)] + ["the memo for everyone is now here"] * 30
+    got = scan_pii(docs(spark, texts)).collect()
+    for r in got:
+        text = texts[r.doc_id]
+        terms = {text[int(a) : int(b)].lower(): k for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k not in ("email",)}
+        assert terms.get("zorblatt") == ("remove" if r.doc_id < 4 else None)
+        assert "the" not in terms and "memo" not in terms
+    assert scan_pii(docs(spark, ["no data here"])).collect()[0].spans == ""
+    assert scan_pii(docs(spark, [])).count() == 0
