@@ -109,8 +109,8 @@ def scan_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", supp
     lines or more. Null and empty texts hold nothing; repeated rows give repeated rows."""
     rows = text_rows(df, id_col, text_col).withColumn("key", F.struct("id", F.xxhash64("body").alias("mark")))
     found = base_spans(rows).withColumn("base", F.concat("email", "ip", "card", "phone"))
-    held = settle(found.where(F.size("base") > 0).select("key", "body", "base"), "entities")
-    beside = settle(contexts(held), "contexts")
+    base = settle(found.select("key", "base", F.when(F.size("base") > 0, F.col("body")).alias("body")), "base")
+    beside = settle(contexts(base.where("body is not null")), "contexts")
     lines_of = beside.select("entity", "key", "line_start").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = beside.select("entity", "term", "key", "line_start").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
     pairs = settle(pairs.join(lines_of, "entity"), "pairs")
@@ -121,13 +121,13 @@ def scan_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", supp
     place = F.xxhash64("w").bitwiseAND(F.lit((1 << FLAG_BITS) - 1))
     listed = every.select(F.explode(F.array_distinct(_words(F.col("line")))).alias("w")).where(F.call_function("getbit", F.get(flags, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1)
     n_t = listed.groupBy(F.col("w").alias("term")).agg(F.count("*").alias("n_t"))
-    total = every.agg(F.greatest(F.count("*"), F.lit(2)).cast("double").alias("n")).scalar()
+    total = rows.agg(F.greatest(F.sum(F.size(F.split("body", "\n", -1))), F.lit(2)).cast("double").alias("n")).scalar()
     share = F.log(total * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(total / F.col("n_e"))
     told = pairs.join(n_t, "term").withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("kind"))
     strongest = beside.join(told, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("kind").alias("kind"))
     own = F.struct("start", F.when(F.col("kind") == "remove", KINDS.index("remove")).otherwise(KINDS.index("generalise")).alias("ord"), "end", "kind", F.lit("").alias("value"))
     more = strongest.groupBy("key").agg(F.collect_list(own.cast(SPAN)).alias("more"))
-    base = settle(found.select("key", "base", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4])), "base")
     out = base.join(more, "key", "left")
     spans = F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))
-    return out.select(F.col("key.id").alias(id_col), *(f"n_{k}" for k in KINDS[:4]), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(spans).alias("spans"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    return out.select(F.col("key.id").alias(id_col), *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(spans).alias("spans"))
