@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import templates
+from . import corpus, templates
 from .functions import columns as C
 from .operators import graph, score, store
 from .operators.analysis import analyze_sources, analyze_statements, edge_pairs
 from .operators.pipelines import evaluate
 from .sources.files import catalog_columns, columns_of
+from .sources.records import decode_blobs, encode_blobs
 from .sources.tables import column_graph, diagnostics, engine_graph, key_graph, table
 
 QUERIES: dict = {}
@@ -595,6 +596,25 @@ def statement_edges(spark: SparkSession, sf: str) -> DataFrame:
 query("SELECT 'SYN.S1.' || c AS key, CAST(0 AS BIGINT) AS depth FROM (VALUES ('X'), ('Y')) v(c) UNION ALL SELECT 'SYN.T' || n_nationkey || '.' || c, 1 FROM nation, (VALUES ('A'), ('B')) v(c) WHERE n_regionkey = 1")(statement_edges)
 
 
+@query("SELECT CAST(t AS BIGINT) AS tier, 1.0 AS precision, 1.0 AS recall, 1.0 AS f1 FROM range(4) AS r(t)")
+def corpus_score(spark, sf):
+    """Generated packages, analysed and scored: every tier is whole and nothing is invented."""
+    return corpus.scored(corpus.packages(spark, 40)).select("tier", "precision", "recall", "f1")
+
+
+@query("SELECT name AS check_name, CAST(0 AS BIGINT) AS failed FROM (VALUES ('source column stands in the text'), ('target table stands in the text'), ('BEGIN and END balance')) v(name)")
+def corpus_checks(spark, sf):
+    return corpus.checks(corpus.packages(spark, 20)).select("check_name", "failed")
+
+
+@query("SELECT n_nationkey AS id, '{\"table\": \"T' || n_nationkey || '\", \"region\": ' || n_regionkey || ', \"columns\": [\"A\", null]}' AS record FROM nation")
+def blob_records(spark, sf):
+    """Adapter blobs written with the record codec, and read back."""
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    made = table(spark, sf, "nation").select(n.alias("id"), F.concat(F.lit('{"table": "T'), n.cast("string"), F.lit('", "region": '), r.cast("string"), F.lit(', "columns": ["A", null]}')).alias("json"))
+    return decode_blobs(encode_blobs(made).drop("json")).where("error is null").select("id", "record")
+
+
 # -- as-of, profiles, twins -----------------------------------------------------------------------------------------------
 
 
