@@ -54,6 +54,39 @@ def packages(spark: SparkSession, n: int, statements: int = 20, seed: int = 2026
     return spark.range(n).mapInArrow(run, "path string, text string, truth array<struct<target:string,source:string,kind:string,tier:long>>")
 
 
+def interfaces(spark: SparkSession, n: int, seed: int = 20260812) -> DataFrame:
+    """(interface, steps, truth) of ``n`` integration interfaces: truth rows are (target, source, kind, hops)."""
+    edge = pa.struct([("target", pa.string()), ("source", pa.string()), ("kind", pa.string()), ("hops", pa.int64())])
+    names = sorted(templates.PIPELINES)
+
+    def one(k: int) -> tuple[str, list[dict]]:
+        steps, rows = templates.PIPELINES[names[_pick(seed, k) % len(names)]]
+        fill = lambda s: s.replace("{n}", str(k)).replace("{r}", str(_pick(seed, k, 1) % 40))
+        return fill(steps), [{"target": fill(t), "source": fill(s) or None, "kind": kind, "hops": hops} for t, s, kind, hops in rows]
+
+    def run(batches):
+        for batch in batches:
+            made = [one(k) for k in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f"IF{k:04d}" for k in batch.column(0).to_pylist()]), pa.array([m[0] for m in made]), pa.array([m[1] for m in made], pa.list_(edge))], ["interface", "steps", "truth"])
+
+    return spark.range(n).mapInArrow(run, "interface string, steps string, truth array<struct<target:string,source:string,kind:string,hops:long>>")
+
+
+def write(made: DataFrame, folder: str) -> None:
+    """Truth and manifest as JSON lines, sources as a table (path, text) from which a tree can be laid out."""
+    made.select("path", "text").write.mode("overwrite").json(f"{folder}/sources")
+    made.select(F.col("path").alias("file"), F.explode("truth").alias("t")).select("file", "t.*").write.mode("overwrite").json(f"{folder}/truth")
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    made.select(F.col("path").alias("file"), lines.alias("lines"), F.size("truth").alias("edges"), F.array_max(F.transform("truth", lambda t: t["tier"])).alias("tier")).write.mode("overwrite").json(f"{folder}/manifest")
+
+
+def ceiling(made: DataFrame) -> DataFrame:
+    """What an analyser that reads each statement alone could reach: (tier, reachable, blocked)."""
+    rows = made.select(F.explode("truth").alias("t")).select("t.*")
+    blocked = F.col("kind") == "VIA_VARIABLE"
+    return rows.groupBy("tier").agg(F.count_if(~blocked).alias("reachable"), F.count_if(blocked).alias("blocked"))
+
+
 def scored(made: DataFrame) -> DataFrame:
     """Precision, recall and F1 of the analyser by tier; an edge beyond the truth counts against tier -1."""
     from .operators.analysis import analyze_sources, edge_pairs

@@ -14,7 +14,7 @@ SOURCES = "path string, text string"
 def source_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """(path, text) of files as they appear."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.sql").option("maxFilesPerTrigger", files_per_batch).load(folder)
-    return raw.select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return raw.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def ingest(spark: SparkSession, folder: str, store_path: str, catalog: dict[str, list[str]] | None = None):

@@ -6,9 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidline.functions.columns import fnv1a, parse_kinds
+from braidline import corpus
+from braidline.functions.udtfs import register
 from braidline.operators import graph, score, store
 from braidline.operators.analysis import analyze_sources, edge_pairs
+from braidline.operators.export import read_viewer, write_viewer
+from braidline.operators.pipelines import evaluate
 from braidline.operators.text import cut_to_budget, diagnose_text, path_text, query_text, recommendations
+from braidline.session import LineageSession
 from braidline.sources.files import chain_sample, columns_of, catalog_columns, decoded, read_engine, sql_files, write_engine
 from braidline.streaming.ingest import ingest, latest
 
@@ -107,3 +112,43 @@ def test_stream_loads_the_store(spark, tree, tmp_path):
 def test_pairs_of_edges(spark):
     rows = analyze_sources(spark.createDataFrame([("x", PACKAGE)], "path string, text string"))
     assert {(r.source, r.kind, r.hops) for r in edge_pairs(rows).collect()} == {("SYN.S.X", "DIRECT", 1), ("SYN.S.Y", "INDIRECT_FILTER", 1)}
+
+
+def test_viewer_form_and_back(spark, tmp_path):
+    edges = analyze_sources(spark.createDataFrame([("x.sql", PACKAGE)], "path string, text string"))
+    pairs = edge_pairs(edges).unionByName(spark.createDataFrame([("x.sql", 9, 9, None, "SYN.U.*", "UNRESOLVED", 1)], "file string, line long, ord long, source string, target string, kind string, hops long"))
+    write_viewer(pairs, f"{tmp_path}/v.json")
+    data = json.loads((tmp_path / "v.json").read_text())
+    assert [o["id"] for o in data["objects"]] == ["syn", "syn.s", "syn.t", "syn.u", "syn.s.x", "syn.s.y", "syn.t.a", "dynamic:x.sql:9"]
+    back = read_viewer(spark, f"file://{tmp_path}/v.json")
+    assert back["edges"].count() == 1 and back["warnings"].count() == 2  # whole tables aren't objects of their own
+
+
+def test_session(spark, tree, tmp_path):
+    rows = analyze_sources(decoded(sql_files(spark, f"file://{tree}")))
+    path = f"{tmp_path}/engine.json"
+    write_engine(rows, path)
+    session = LineageSession(spark)
+    assert "SYN.S.X -> SYN.T.A [DIRECT]" in session.query(f"file://{path}", "t.a")
+    assert "SYN.S.* -> SYN.T.*" in session.query(f"file://{path}", "SYN.T", grain="table")
+    assert session.path(f"file://{path}", "SYN.S.X", "SYN.T.A").startswith("1 hops")
+    assert session.stats(f"file://{path}")["kind DIRECT"] == 2 and "DYNAMIC_SQL" in session.diagnose(f"file://{path}")
+    assert session.explain(f"file://{path}", "SYN.T.A").splitlines()[0] == "SYN.T.A: 2 edges shown"
+    assert len(session.held) == 1
+
+
+def test_table_functions(spark):
+    register(spark)
+    got = spark.sql("SELECT target, source FROM lineage_edges('INSERT INTO T (A) SELECT X FROM S')").collect()
+    assert [tuple(r) for r in got] == [("T.A", "S.X")]
+    assert spark.createDataFrame([(PACKAGE,)], "t string").createOrReplaceTempView("src") is None
+    assert spark.sql("SELECT s.kind FROM src, LATERAL lineage_statements(t) s").count() == 2
+
+
+def test_generated_interfaces(spark):
+    made = corpus.interfaces(spark, 30)
+    want = {(r.interface, t.target, t.source, t.kind, t.hops) for r in made.collect() for t in r.truth}
+    assert {(r.interface, r.target, r.source, r.kind, r.hops) for r in evaluate(made).collect()} == want
+    packages = corpus.packages(spark, 3, 5)
+    assert {r.text for r in packages.collect()} == {r.text for r in packages.repartition(2).collect()}
+    assert corpus.ceiling(packages).agg(F.sum("reachable")).first()[0] > 0
