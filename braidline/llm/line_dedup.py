@@ -7,8 +7,8 @@ within the join's condition; what is left is verified on the whole sets. A line
 and line number, is that similar to it.
 
 Two sketches of fixed size reach every task: how often words of a hash bucket occur in the corpus, a byte each (the
-order by rarity; any order gives the same result), and a bit map of the classes that are candidates (only their words
-are gathered for verification). Sets are held as 64-bit word hashes.
+order by rarity; any order gives the same result), and a bit map of the lines that stand for candidates (only
+their words are gathered for verification). Sets are held as 64-bit word hashes.
 """
 
 from __future__ import annotations
@@ -18,15 +18,37 @@ from pyspark.sql import functions as F
 
 from .common import forget, settle, text_rows
 
-RARITY_BITS, CANDIDATE_BITS = 18, 23
+RARITY_BITS, CANDIDATE_BITS = 16, 23
+LONG = 60  # sets beyond this use both halves of the parity map
 
 
-def _line_table(rows: DataFrame, least: int) -> DataFrame:
-    """(id, line, h): lines with ``least`` distinct words or more, as sorted arrays of word hashes."""
-    lines = rows.select("id", F.posexplode(F.split(F.translate(F.lower("body"), "\t\r\x0b\x0c", "    "), "\n", -1)).alias("line", "text"))
-    words = F.array_remove(F.split("text", " ", -1), "")
-    hashed = lines.select("id", "line", F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("h"))
-    return hashed.where(F.size("h") >= least)
+def _plain(body: Column) -> Column:
+    """Lower case, with spaces for other white space inside lines."""
+    low = F.lower(body)
+    odd = F.lit(False)
+    for c in "\t\r\x0b\x0c":
+        odd = odd | (F.instr(body, c) > 0)
+    return F.when(odd, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low)
+
+
+def _bucket(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit((1 << RARITY_BITS) - 1).cast("long"))
+
+
+def _number(word: Column, octaves: Column) -> Column:
+    """A word as a number that grows with its frequency: the octave of its bucket, then 5 bits that are the smaller the
+    longer it is (long words tend to be rare), then 52 bits of its hash."""
+    octave = F.ascii(F.substring(octaves, _bucket(word).cast("int") + 1, 1)).cast("long")
+    length = (31 - F.least(F.length(word), F.lit(31))).cast("long")
+    return F.shiftleft(octave, 57).bitwiseOR(F.shiftleft(length, 52)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 12))
+
+
+def _line_table(rows: DataFrame, octaves: bytes) -> DataFrame:
+    """(id, line, h): lines as arrays of their distinct words' numbers, rare words first."""
+    spread = F.lit(bytearray(octaves))
+    lines = rows.select("id", F.posexplode(F.split(_plain(F.col("body")), "\n", -1)).alias("line", "text"))
+    words = F.array_remove(F.array_distinct(F.split("text", " ", -1)), "")
+    return lines.select("id", "line", F.sort_array(F.transform(words, lambda w: _number(w, spread))).alias("h"))
 
 
 def _named(lines: DataFrame) -> DataFrame:
@@ -34,55 +56,58 @@ def _named(lines: DataFrame) -> DataFrame:
     return lines.withColumn("c", F.struct(F.xxhash64("h").alias("x"), F.hash("h").alias("y"), F.size("h").alias("n")))
 
 
-def _rarity(rows: DataFrame) -> bytes:
-    """A byte for each hash bucket, growing with the logarithm of how often the corpus has its words."""
-    words = rows.select(F.explode(F.split(F.translate(F.lower("body"), "\n\t\r\x0b\x0c", "     "), " ", -1)).alias("w"))
-    counted = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << RARITY_BITS) - 1)).alias("bucket")).agg(F.count("*").alias("n"))
+def _octaves(rows: DataFrame) -> bytes:
+    """For each hash bucket the octave of how often the corpus has its words; the sketch's size is fixed."""
+    words = rows.select(F.explode(F.split(F.replace(F.lower("body"), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w"))
+    counted = words.groupBy(_bucket(F.col("w")).alias("bucket")).agg(F.count("*").alias("n"))
     every = rows.sparkSession.range(1 << RARITY_BITS).withColumnRenamed("id", "bucket").join(counted, "bucket", "left")
-    scaled = every.select("bucket", F.lpad(F.hex(F.least(F.lit(255), F.floor(6 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("int")), 2, "0").alias("n"))
+    scaled = every.select("bucket", F.lpad(F.hex(F.floor(F.log2(1 + F.coalesce("n", F.lit(0)))).cast("int") + 1), 2, "0").alias("n"))
     ordered = scaled.agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("a"))
     return bytes.fromhex(ordered.select(F.array_join(F.transform("a", lambda s: s["n"]), "")).first()[0])
 
 
-def _parity(h: Column, half: int) -> Column:
-    """64 of the 128 bits: bit k is the parity of the number of words whose hash ends in it."""
-
-    def bit(x: Column) -> Column:
-        return F.when(F.shiftright(x, 40).bitwiseAND(F.lit(1)) == half, F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 41).bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
-
-    return F.aggregate(h, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
+def _parity(h: Column) -> Column:
+    """64 bits: the parity of the number of words that hash to each."""
+    one, low = F.lit(1).cast("long"), F.lit(63).cast("long")
+    return F.aggregate(h, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(low).cast("int"))))
 
 
-def _flags(classes: DataFrame) -> DataFrame:
-    """One row: a bit for each class hash, as an array of 64-bit words; no classes, no row."""
-    place = F.col("x").bitwiseAND(F.lit((1 << CANDIDATE_BITS) - 1))
-    bits = classes.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+def _flags(lines: DataFrame) -> DataFrame:
+    """One row: a bit for each line (id, line) by its hash, as an array of 64-bit words."""
+    place = F.xxhash64("id", "line").bitwiseAND(F.lit((1 << CANDIDATE_BITS) - 1))
+    bits = lines.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    every = classes.sparkSession.range(1 << (CANDIDATE_BITS - 6)).withColumnRenamed("id", "word").join(words, "word", "left")
+    every = lines.sparkSession.range(1 << (CANDIDATE_BITS - 6)).withColumnRenamed("id", "word").join(words, "word", "left")
     ordered = every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("a"))
     return ordered.select(F.transform("a", lambda s: s["bits"]).alias("flags"))
 
 
-def similar_classes(keyed: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
+def similar_classes(keyed: DataFrame, lines: DataFrame, firsts: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): pairs of different classes whose sets are similar enough. ``keyed`` holds id, line, c, prefix, p, q."""
     # One row for each class and prefix word; copies of a class meet on the word's partition and become one.
-    words = keyed.select(F.posexplode("prefix").alias("at", "word"), "c", "p", "q").repartition("word").dropDuplicates(["word", "c"])
+    words = keyed.select(F.posexplode("prefix").alias("at", "word"), F.col("c.x").alias("x"), F.col("c.y").alias("y"), F.col("c.n").alias("n"), "p", "q").repartition("word").dropDuplicates(["word", "x", "y", "n"])
     a, b = words.alias("a"), words.alias("b")
-    na, nb = F.col("a.c.n"), F.col("b.c.n")
-    total, differ = na + nb, F.bit_count(F.col("a.p").bitwiseXOR(F.col("b.p"))) + F.bit_count(F.col("a.q").bitwiseXOR(F.col("b.q")))
+    na, nb = F.col("a.n"), F.col("b.n")
+    total = na + nb
+    # Of two long sets both halves are compared, else the whole maps, which the halves make up.
+    halves = F.bit_count(F.col("a.p").bitwiseXOR(F.col("b.p"))) + F.bit_count(F.col("a.q").bitwiseXOR(F.col("b.q")))
+    wholes = F.bit_count(F.col("a.p").bitwiseXOR(F.col("b.p")).bitwiseXOR(F.col("a.q")).bitwiseXOR(F.col("b.q")))
+    differ = F.when((na > LONG) & (nb > LONG), halves).otherwise(wholes)
     close = (
-        (F.struct(na, F.col("a.c.x"), F.col("a.c.y")) < F.struct(nb, F.col("b.c.x"), F.col("b.c.y")))
+        (na <= nb)
         & (na * den >= nb * num)
         & (F.least(na - F.col("a.at"), nb - F.col("b.at")) * (num + den) >= total * num)
         & (differ * (num + den) <= total * (den - num))
+        & ((na < nb) | (F.col("a.x") < F.col("b.x")) | ((F.col("a.x") == F.col("b.x")) & (F.col("a.y") < F.col("b.y"))))
     )
-    pairs = settle(a.join(b, (F.col("a.word") == F.col("b.word")) & close).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct(), "pairs")
+    whole = lambda t: F.struct(*(F.col(f"{t}.{k}").alias(k) for k in ("x", "y", "n"))).alias(t)
+    pairs = settle(a.join(b, (F.col("a.word") == F.col("b.word")) & close).select(whole("a"), whole("b")).distinct(), "pairs")
     some = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    flags = _flags(some.select("c.x")).scalar()
-    place = F.xxhash64("h").bitwiseAND(F.lit((1 << CANDIDATE_BITS) - 1))
-    flagged = F.get(flags, F.shiftright(place, 6).cast("int"))
-    hit = F.call_function("getbit", flagged, place.bitwiseAND(F.lit(63)).cast("int")) == 1
-    sets = _named(lines.where(hit)).select("c", "h").dropDuplicates(["c"]).join(some, "c", "left_semi")
+    wanted = firsts.join(some, "c").select("c", "first.id", "first.line")
+    flags = _flags(wanted).scalar()
+    place = F.xxhash64("id", "line").bitwiseAND(F.lit((1 << CANDIDATE_BITS) - 1))
+    hit = F.call_function("getbit", F.get(flags, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+    sets = _named(lines.where(hit)).join(wanted, ["c", "id", "line"], "left_semi").select("c", "h").dropDuplicates(["c"])
     both = pairs.join(sets.select(F.col("c").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("c").alias("b"), F.col("h").alias("hb")), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
     out = settle(both.where(shared * (num + den) >= (F.col("a.n") + F.col("b.n")) * num).select("a", "b"), "similar")
@@ -95,16 +120,13 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fewer than ``least`` distinct words never go. Rows that share an id are one document: their lines of one number
     stay or go alike. Null texts have no lines."""
     rows = text_rows(df, id_col, text_col)
-    lines = _line_table(rows, least)
-    rarity = F.lit(bytearray(_rarity(rows)))
+    lines = _line_table(rows, _octaves(rows))
     size = F.size("h")
     prefix = size - F.floor((size * num + den - 1) / den).cast("int") + 1
-    bucket = lambda w: w.bitwiseAND(F.lit((1 << RARITY_BITS) - 1)).cast("int")
-    ranked = lines.withColumn("rarity", F.transform("h", lambda w: F.struct(F.substring(rarity, bucket(w) + 1, 1).alias("n"), w.alias("w"))))
-    ranked = ranked.withColumn("prefix", F.transform(F.slice(F.sort_array("rarity"), F.lit(1), prefix), lambda s: s["w"])).drop("rarity")
-    keyed = settle(_named(ranked).select("id", "line", "c", "prefix", _parity(F.col("h"), 0).alias("p"), _parity(F.col("h"), 1).alias("q")), "lines")
+    second = F.when(size > LONG, _parity(F.filter("h", lambda x: x.bitwiseAND(F.lit(64).cast("long")) != 0))).otherwise(F.lit(0).cast("long"))
+    keyed = settle(_named(lines).select("id", "line", "c", F.slice("h", F.lit(1), prefix).alias("prefix"), _parity(F.col("h")).alias("all"), second.alias("q")).withColumn("p", F.col("all").bitwiseXOR(F.col("q"))).drop("all"), "lines").where(F.col("c.n") >= least)
     firsts = settle(keyed.groupBy("c").agg(F.min(F.struct("id", "line")).alias("first")), "firsts")
-    alike = similar_classes(keyed, lines, num, den)
+    alike = similar_classes(keyed, lines, firsts, num, den)
     dated = alike.join(firsts.select(F.col("c").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("c").alias("b"), F.col("first").alias("fb")), "b")
     beaten = dated.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("c")).distinct().withColumn("beaten", F.lit(True))
     told = firsts.join(beaten, "c", "left")
