@@ -9,6 +9,7 @@ import struct
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Fixed values of the format: the first bytes, the class named first, and the tags of values.
 PREAMBLE = bytes([0x0B, 0x04, 0x00, 0x00, 0x00, 0x01, 0x05, 0x01])
@@ -122,7 +123,7 @@ def decode(raw: bytes) -> tuple[dict, str]:
 
 def decode_blobs(nodes: DataFrame, blob: str = "blob") -> DataFrame:
     """The input with record (JSON) and error beside each base64 blob."""
-    shape = nodes.schema.add("record", "string").add("error", "string")
+    shape = StructType([*nodes.schema.fields, StructField("record", StringType()), StructField("error", StringType())])
     place = nodes.columns.index(blob)
 
     def run(batches):
@@ -149,7 +150,7 @@ def encode_blobs(records: DataFrame, column: str = "json") -> DataFrame:
             made = [None if x is None else base64.b64encode(encode(json.loads(x))).decode() for x in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, "blob"])
 
-    return records.mapInArrow(run, records.schema.add("blob", "string"))
+    return records.mapInArrow(run, StructType([*records.schema.fields, StructField("blob", StringType())]))
 
 
 def blobs_of(documents: DataFrame, text: str = "text") -> DataFrame:
