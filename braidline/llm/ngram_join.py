@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import forget, settle, small_batches, text_rows
 from .components import components
 
+SKETCH = 8  # 64-bit words of a parity sketch
 GOLD, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -89,7 +90,7 @@ def signatures(features: np.ndarray, num: int, den: int) -> np.ndarray:
         most = 2 * every[number][1] * (den - num) // (den + num)
         parts = (most + 2) // 2
         pieces = 4 if most <= 12 else 2  # small sets have room for more selective subsets
-        seeded = mix(features + np.uint64(number + 1) * GOLD)
+        seeded = mix(features + np.uint64((number + 1) * int(GOLD) % (1 << 64)))
         place = (seeded % np.uint64(parts * pieces)).astype(np.int64)
         sums = np.zeros(parts * pieces, np.uint64)
         np.add.at(sums, place, mix(seeded ^ MIX1))
@@ -128,7 +129,7 @@ def _signed(rows: DataFrame, size: int, num: int, den: int, id_type: str) -> Dat
             ids, sigs = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 features = shingler.of(text)
-                key = hashlib.blake2b(features.tobytes(), digest_size=8).digest()
+                key = hashlib.blake2b(features.tobytes(), digest_size=16).digest()
                 if len(features) and key not in seen:
                     if len(seen) < 500_000:
                         seen.add(key)
@@ -150,6 +151,24 @@ def _sets(rows: DataFrame, size: int, id_type: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {id_type}, features binary")
 
 
+def parity(features: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the features that hash to it: two sets differ in at least as many features as bits."""
+    counts = np.bincount((mix(features + GOLD) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
+def _sketches(sets: DataFrame, id_type: str) -> DataFrame:
+    names = ["id", "n", *(f"s{k}" for k in range(SKETCH))]
+
+    def run(batches):
+        for batch in batches:
+            raw = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            bits = np.array([parity(x) for x in raw]).reshape(len(raw), SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), *(pa.array(bits[:, k]) for k in range(SKETCH))], names)
+
+    return sets.select("id", "features").mapInArrow(run, f"id {id_type}, " + ", ".join(f"{n} long" for n in names[1:]))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, id_type: str) -> DataFrame:
     """Those (a, b) that link."""
     sided = pairs.join(sets.select(F.col("id").alias("a"), F.col("features").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("features").alias("y")), "b")
@@ -207,9 +226,12 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     # What leaders didn't join: members of one bucket in different components.
     member = bucketed.join(reps, "id").select("sig", F.col("rep").alias("id")).join(groups, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
     torn = member.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    open_ = settle(member.join(torn, "sig").distinct(), "open")
-    x, y = open_.select("sig", F.col("id").alias("a"), F.col("component").alias("ca")), open_.select("sig", F.col("id").alias("b"), F.col("component").alias("cb"))
-    pairs = x.join(y, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
+    open_ = settle(member.join(torn, "sig").distinct().join(_sketches(sets, id_type), "id"), "open")
+    x, y = open_.alias("x"), open_.alias("y")
+    sizes_of = [F.col("x.n"), F.col("y.n")]
+    differ = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
+    close = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.least(*sizes_of) * den >= F.greatest(*sizes_of) * num) & (differ * (num + den) <= (sizes_of[0] + sizes_of[1]) * (den - num))
+    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     last = settle(_verified(pairs.join(led.select("a", "b"), ["a", "b"], "left_anti"), sets, num, den, id_type), "linked")
     forget(groups, bucketed, open_, led, sets)
     final = components(links.unionByName(last).unionByName(reps.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")))
