@@ -45,7 +45,7 @@ FLOWS: dict[str, tuple[str, str, list[tuple[str, str, str]]]] = {
 
 #: Statements with the diagnostic that they must give.
 DIAGNOSED: dict[str, tuple[str, str]] = {
-    "param_unresolved_diag": ("UPDATE SYN.T{n} SET A = P_{n};", "PARAMETER_UNRESOLVED"),
+    "param_unresolved_diag": ("INSERT INTO SYN.T{n} (A) VALUES (P_{n});", "PARAMETER_UNRESOLVED"),
     "star_unresolved_diag": ("INSERT INTO SYN.T{n} (A) SELECT s.* FROM SYN.S{r} s;", "STAR_UNRESOLVED"),
     "dynamic_diag": ("EXECUTE IMMEDIATE v_{n};", "DYNAMIC_SQL"),
     "dynamic_partial_diag": ("EXECUTE IMMEDIATE 'INSERT INTO SYN.L{n} (A) SELECT B FROM SYN.Q{r} WHERE X = ' || v_x;", "DYNAMIC_SQL_PARTIAL"),
