@@ -68,8 +68,12 @@ def base_spans(rows: DataFrame) -> DataFrame:
     )
 
 
+def _spaced(line: Column) -> Column:
+    return F.translate(line, "\t\r\x0b\x0c", "    ")
+
+
 def _words(line: Column) -> Column:
-    return F.split(F.translate(F.lower(line), "\t\r\x0b\x0c", "    "), " ", -1)
+    return F.split(F.lower(_spaced(line)), " ", -1)
 
 
 def _listed(spans: Column) -> Column:
@@ -92,14 +96,9 @@ def contexts(found: DataFrame) -> DataFrame:
     right = F.substring_index(F.substr(body, F.col("s.end") + 1), "\n", 1)
     lines = each.select("key", F.col("s.value").alias("entity"), (F.col("s.start") - F.length(left)).alias("line_start"), F.concat(left, F.translate("s.value", " ", "\x00"), right).alias("line"))
     lines = lines.dropDuplicates(["key", "entity", "line_start"])
-    words = _words(F.col("line"))
-    placed = F.aggregate(
-        words,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<term:string,start:int>>").alias("out")),
-        lambda acc, w: F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(w.alias("term"), acc["at"].alias("start")))).alias("out")),
-    )["out"]
-    out = lines.select("key", "entity", "line_start", F.explode(placed).alias("w"))
-    out = out.select("key", "entity", "line_start", F.col("w.term").alias("term"), (F.col("line_start") + F.col("w.start")).alias("start"), (F.col("line_start") + F.col("w.start") + F.length("w.term")).alias("end"))
+    out = lines.select("key", "entity", "line_start", "line", F.posexplode(_words(F.col("line"))).alias("k", "term"))
+    before = F.when(F.col("k") > 0, F.length(F.call_function("substring_index", _spaced(F.col("line")), F.lit(" "), F.col("k"))) + 1).otherwise(0)
+    out = out.select("key", "entity", "line_start", "term", (F.col("line_start") + before).alias("start"), (F.col("line_start") + before + F.length("term")).alias("end"))
     return out.where("term rlike '[a-z\\u0080-\\uffff]{3}' and term not rlike '[0-9@\\u0000]'")
 
 
@@ -129,5 +128,6 @@ def scan_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", supp
     more = strongest.groupBy("key").agg(F.collect_list(own.cast(SPAN)).alias("more"))
     out = base.join(more, "key", "left")
     spans = F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [number(k) for k in KINDS[:4]]
     return out.select(F.col("key.id").alias(id_col), *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(spans).alias("spans"))
