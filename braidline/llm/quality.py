@@ -13,7 +13,7 @@ rows without. Everything else covers all documents.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,22 +47,22 @@ def traits(word: bytes) -> list[bytes]:
     return [word, *(b"^" + word[:k] for k in (4, 5, 6, 7) if len(word) > k)]
 
 
-def telling(sets: list[set[bytes]], labels: list[np.ndarray], least: int, most: int) -> list[bytes]:
-    """For each label the ``most`` traits that tell most about it (chi-squared), of those that ``least`` texts have."""
-    counts = Counter(f for x in sets for f in x)
-    kept = sorted(f for f, n in counts.items() if n >= least)
-    place, total, n = {f: k for k, f in enumerate(kept)}, np.array([counts[f] for f in kept], float), len(sets)
+def telling(sets: list[np.ndarray], names: list[bytes], labels: list[np.ndarray], least: int, most: int) -> list[bytes]:
+    """For each label the ``most`` traits that tell most about it (chi-squared), of those that ``least`` texts have.
+    ``sets`` holds each text's traits as places in ``names``."""
+    size, n = len(names), len(sets)
+    total = np.zeros(size)
+    for x in sets:
+        total[x] += 1
     out: set[bytes] = set()
     for y in labels:
-        up = np.zeros(len(kept))
+        up = np.zeros(size)
         for x, one in zip(sets, y, strict=True):
             if one:
-                for f in x:
-                    if f in place:
-                        up[place[f]] += 1
+                up[x] += 1
         p = y.sum() / max(1, n)
-        score = (up - total * p) ** 2 / np.maximum(total * p * (1 - p) * (1 - total / n), 1e-9)
-        out |= {kept[k] for k in np.argsort(-score, kind="stable")[:most]}
+        score = np.where(total >= least, (up - total * p) ** 2 / np.maximum(total * p * (1 - p) * (1 - total / max(1, n)), 1e-9), -1.0)
+        out |= {names[k] for k in np.argsort(-score, kind="stable")[:most] if score[k] >= 0}
     return sorted(out)
 
 
@@ -149,7 +149,7 @@ class Model:
     targets: dict[str, Target] = field(default_factory=dict)
     found: dict[bytes, tuple[int, ...]] = field(default_factory=dict)
 
-    def content(self, words: list[set[bytes]]) -> Rows:
+    def content(self, words: Iterable[set[bytes]]) -> Rows:
         return Rows.of([sorted(set().union(*[self.found.get(w) or self._find(w) for w in x])) for x in words], max(1, len(self.vocabulary)))
 
     def _find(self, word: bytes) -> tuple[int, ...]:
@@ -230,16 +230,17 @@ def train(labelled: list, pool: list, rounds: int = 3, share: float = 0.1, sure:
     the traits chosen by ``telling``."""
     raws = [(r[0] or "").encode("utf-8", "surrogatepass") for r in labelled]
     free = [(r[0] or "").encode("utf-8", "surrogatepass") for r in pool]
-    words, free_words = [words_of(r) for r in raws], [words_of(r) for r in free]
-    marked = [{f for w in x for f in traits(w)} for x in words]
-    kept = telling(marked, [np.array([float(r[at]) for r in labelled]) for at in (3, 4)], least, most)
+    names: dict[bytes, int] = {}
+    marked = [np.unique(np.fromiter((names.setdefault(f, len(names)) for w in words_of(r) for f in traits(w)), np.int32)) for r in raws]
+    kept = telling(marked, list(names), [np.array([float(r[at]) for r in labelled]) for at in (3, 4)], least, most)
+    del names, marked
     shapes = np.array([shape_of(r) for r in raws]).reshape(len(raws), SHAPES)
     seen = sorted({("lang", r[1]) for r in labelled} | {("source", r[2]) for r in labelled}, key=str)
     categories = {p: k for k, p in enumerate(seen[:2000]) if p[1] is not None}
     categories = {p: k for k, p in enumerate(categories)}
     model = Model({w: k for k, w in enumerate(kept)}, categories, shapes.mean(0) if len(shapes) else np.zeros(SHAPES), np.maximum(shapes.std(0), 1e-3) if len(shapes) else np.ones(SHAPES))
-    views = model.content(words), model.meta(raws, [r[1] for r in labelled], [r[2] for r in labelled])
-    others = model.content(free_words), model.meta(free, [r[1] for r in pool], [r[2] for r in pool])
+    views = model.content(map(words_of, raws)), model.meta(raws, [r[1] for r in labelled], [r[2] for r in labelled])
+    others = model.content(map(words_of, free)), model.meta(free, [r[1] for r in pool], [r[2] for r in pool])
     for at, name in ((3, "low"), (4, "toxic")):
         y = np.array([float(r[at]) for r in labelled])
         if len(set(y.tolist())) < 2:  # nothing to tell apart
@@ -248,6 +249,7 @@ def train(labelled: list, pool: list, rounds: int = 3, share: float = 0.1, sure:
             model.targets[name] = Target(Logistic(np.zeros(views[0].width)), Logistic(np.zeros(views[1].width)), ((0.0, 0.0), (0.0, 0.0)), (0.0, 0.0, shift))
         else:
             model.targets[name] = co_train(views, y, others, rounds, share, sure)
+    model.found.clear()
     return model
 
 
