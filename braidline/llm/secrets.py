@@ -1,10 +1,11 @@
 """Secret scans with multipart credential linking.
 
 Base findings stand on their own: assignments of secrets, access identifiers, long hex strings. Weak candidates (other
-identifiers, unnamed random-looking strings, endpoints) mean something only together: the scope of a finding is the
-text up to ``scope`` characters around it, and scopes are joined as intervals. A weak secret is reported where an
-access identifier is in scope, a weak identifier where a base secret is, an endpoint where both an identifier and a
-secret are. The join sorts the intervals of one text and moves along them; no pairs are listed.
+identifiers, random-looking strings, endpoints) mean something only together: the scope of a finding is the text up to
+``scope`` characters around it, and scopes are joined as intervals, in texts without base findings, too. Identifiers are
+the access ones and the weak ones, secrets the other base findings and the weak ones. A weak secret is reported where an
+identifier is in scope, a weak identifier where a secret is, an endpoint where both are, and then both. The join sorts
+the intervals of one text and moves along them; no pairs are listed.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 WEAK_ID = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|key_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,128})""", re.IGNORECASE | re.ASCII)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,256}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Behind a single = or :, too, but not the // of a URL.
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?<!==)(?!(?<=:)//)[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
+USER = re.compile(r"://([^\s:/@\"'<>]+):[^\s/@\"'<>]+@")
 ENDPOINT = re.compile(r"""(?:https?|s3|jdbc:[a-z0-9]+|postgres|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,256}|\b(?:host|endpoint|server|region|bucket)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:_-]{3,128}""", re.IGNORECASE | re.ASCII)
 ORDER = {k: n for n, k in enumerate(("assign", "access", "hex", "weak_id", "weak_secret", "endpoint"))}
 
@@ -61,26 +64,37 @@ class Scopes:
         _, a, b = span
         return bisect_right(self.starts, b + self.scope) > bisect_left(self.ends, a - self.scope)
 
+    def over(self, span: tuple[str, int, int]) -> bool:
+        """Does one of them share a character with the span?"""
+        _, a, b = span
+        return bisect_right(self.starts, b - 1) > bisect_left(self.ends, a + 1)
+
 
 def linked_spans(text: str, base: list[tuple[str, int, int]], scope: int) -> list[tuple[str, int, int]]:
-    """Weak candidates with their complement in scope; none in a text without base findings."""
-    if not base:
-        return []
+    """Weak candidates with their complement in scope. Every link has an identifier and a secret, base or weak."""
+    taken = Scopes(base, 0)
     strong = [s for s in base if s[0] != "access"]
     access = [s for s in base if s[0] == "access"]
-    taken = Scopes(base, 0)
-    free = lambda s: not any(a < s[2] and s[1] < b for _, a, b in base) if taken.near(s) else True
-    secrets = Scopes(strong, scope)
-    ids = [s for m in WEAK_ID.finditer(text) if free(s := ("weak_id", m.start(), m.end())) and secrets.near(s)]
-    known = Scopes(access + ids, scope)
-    weak = []
-    if access or ids:
-        weak = [s for m in WEAK_SECRET.finditer(text) if random_looking(m[0]) and free(s := ("weak_secret", m.start(), m.end())) and known.near(s)]
-    anything = Scopes(strong + weak, scope)
-    ends = [s for m in ENDPOINT.finditer(text) if free(s := ("endpoint", m.start(), m.end())) and known.near(s) and anything.near(s)]
+    weak = [s for m in WEAK_SECRET.finditer(text) if random_looking(m[0]) and not taken.over(s := ("weak_secret", m.start(), m.end()))]
+    if not strong and not weak:
+        return []
+    ids = [s for m in WEAK_ID.finditer(text) if not taken.over(s := ("weak_id", m.start(), m.end()))]
+    users = [s for m in USER.finditer(text) if not taken.over(s := ("weak_id", m.start(1), m.end(1)))] if "://" in text else []
+    if not access and not ids and not users:
+        return []
+    ends = [s for m in ENDPOINT.finditer(text) if not taken.over(s := ("endpoint", m.start(), m.end()))]
+    # What an identifier or an endpoint is named by isn't a secret beside it; parts of a URL may be.
+    named = Scopes(ids + [s for s in ends if "://" not in text[s[1] : s[2]]], 0)
+    weak = [s for s in weak if not named.over(s)]
+    known, secrets = Scopes(access + ids + users, scope), Scopes(strong + weak, scope)
+    ends = [s for s in ends if known.near(s) and secrets.near(s)]
+    met = Scopes(ends, scope)
+    ids = [s for s in ids + users if secrets.near(s) or met.near(s)]
+    weak = [s for s in weak if known.near(s) or met.near(s)]
+    inside = Scopes(ends, 0)
+    ids = [s for s in ids if text[s[1] - 3 : s[1]] != "://" or not inside.over(s)]
     inside = Scopes(ends + ids, 0)
-    weak = [s for s in weak if not (inside.near(s) and any(a < s[2] and s[1] < b for _, a, b in ends + ids))]
-    return ids + weak + ends
+    return ids + [s for s in weak if not inside.over(s)] + ends
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
