@@ -38,3 +38,12 @@ def test_stages(spark):
     for r in last:
         ids = lib.encode(rows[4][r.doc_id].text or "")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha_hex(",".join(map(str, ids))), sha_hex(lib.decode(ids)))
+
+
+def test_near_copies_with_two_changed_words_go(spark):
+    words = [f"w{k}" for k in range(100)]
+    changed = ["x" if k in (30, 70) else w for k, w in enumerate(words)]  # 86 of 106 on five words, 92 of 104 on three
+    more = ["x" if k in (20, 50, 80) else w for k, w in enumerate(words)]  # 81 of 111
+    texts = [" ".join(words), " ".join(changed), " ".join(more), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.near_copies(spark, docs, FOLDER).collect()} == {0, 2, 3}
