@@ -4,8 +4,9 @@ Personal data are found by patterns; quantifiers are possessive, so that no text
 recurse. Matches are placed by the lengths of the stretches between them. Then information-theoretic sanitisation: a
 context is a line that holds an entity (a value found). Over the whole corpus, in lines, how strongly a term reveals an
 entity is their pointwise mutual information as a share of the entity's own information, log(N n(e,t) / n(e) n(t)) /
-log(N / n(e)); 1 means that the term never occurs without the entity. Terms at or beyond ``remove`` are to be removed,
-those at or beyond ``generalise`` to be generalised, wherever they stand in a line with the entity.
+log(N / n(e)); 1 means that the term never occurs without the entity. The share of a term's lines that have the entity
+is smoothed, so that single sightings count, but for less. Terms at or beyond ``remove`` are to be removed, those at or
+beyond ``generalise`` to be generalised, wherever they stand in a line with the entity; ``sanitise`` does both.
 
 A bit map of fixed size, passed as a scalar subquery, keeps words that never stand beside an entity out of the count.
 """
@@ -91,22 +92,26 @@ def _flags(terms: DataFrame) -> DataFrame:
 def contexts(found: DataFrame) -> DataFrame:
     """(key, entity, line_start, term, start, end): the words of each line that holds an entity, entities left out."""
     body = F.col("body")
-    each = found.select("key", "body", F.explode("base").alias("s"))
+    each = found.dropDuplicates(["key"]).select("key", "body", F.explode("base").alias("s"))
     left = F.substring_index(F.substr(body, F.lit(1), F.col("s.start")), "\n", -1)
     right = F.substring_index(F.substr(body, F.col("s.end") + 1), "\n", 1)
-    lines = each.select("key", F.col("s.value").alias("entity"), (F.col("s.start") - F.length(left)).alias("line_start"), F.concat(left, F.translate("s.value", " ", "\x00"), right).alias("line"))
-    lines = lines.dropDuplicates(["key", "entity", "line_start"])
-    out = lines.select("key", "entity", "line_start", "line", F.posexplode(_words(F.col("line"))).alias("k", "term"))
+    lines = each.select("key", "s", (F.col("s.start") - F.length(left)).alias("line_start"), F.concat(left, "s.value", right).alias("line"))
+    lines = lines.groupBy("key", "line_start").agg(F.first("line").alias("line"), F.collect_list("s").alias("spans"), F.collect_set("s.value").alias("entities"))
+
+    def mask(line: Column, s: Column) -> Column:
+        size = s["end"] - s["start"]
+        return F.overlay(line, F.repeat(F.lit("\x00"), size), s["start"] - F.col("line_start") + 1, size)
+
+    lines = lines.withColumn("line", F.aggregate("spans", F.col("line"), mask))
+    out = lines.select("key", "entities", "line_start", "line", F.posexplode(_words(F.col("line"))).alias("k", "term"))
+    out = out.where("term rlike '[\\\\p{L}\\\\p{N}]' and instr(term, '\\u0000') = 0")
     before = F.when(F.col("k") > 0, F.length(F.call_function("substring_index", _spaced(F.col("line")), F.lit(" "), F.col("k"))) + 1).otherwise(0)
-    out = out.select("key", "entity", "line_start", "term", (F.col("line_start") + before).alias("start"), (F.col("line_start") + before + F.length("term")).alias("end"))
-    return out.where("term rlike '[a-z\\u0080-\\uffff]{3}' and term not rlike '[0-9@\\u0000]'")
+    out = out.select("key", "entities", "line_start", "term", (F.col("line_start") + before).alias("start"))
+    return out.select("key", F.explode("entities").alias("entity"), "line_start", "term", "start", (F.col("start") + F.length("term")).alias("end"))
 
 
-def scan_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, remove: float = 0.95, generalise: float = 0.8) -> DataFrame:
-    """A row for each input row: its id, n_email, n_ip, n_card, n_phone, base_sha256 and spans (base ones and those of
-    revealing terms, as kind:start:end in code points). A term counts if it stands beside the entity in ``support``
-    lines or more. Null and empty texts hold nothing; repeated rows give repeated rows."""
-    rows = text_rows(df, id_col, text_col).withColumn("key", F.struct("id", F.xxhash64("body").alias("mark")))
+def _scanned(rows: DataFrame, support: int, remove: float, generalise: float, smooth: float) -> DataFrame:
+    """(key, base, more) for each of ``rows`` (id, body, key): base spans and those of revealing terms."""
     found = base_spans(rows).withColumn("base", F.concat("email", "ip", "card", "phone"))
     base = settle(found.select("key", "base", F.when(F.size("base") > 0, F.col("body")).alias("body")), "base")
     beside = settle(contexts(base.where("body is not null")), "contexts")
@@ -121,13 +126,49 @@ def scan_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", supp
     listed = every.select(F.explode(F.array_distinct(_words(F.col("line")))).alias("w")).where(F.call_function("getbit", F.get(flags, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1)
     n_t = listed.groupBy(F.col("w").alias("term")).agg(F.count("*").alias("n_t"))
     total = rows.agg(F.greatest(F.sum(F.size(F.split("body", "\n", -1))), F.lit(2)).cast("double").alias("n")).scalar()
-    share = F.log(total * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(total / F.col("n_e"))
+    rate = (F.col("n_et") + smooth * F.col("n_e") / total) / (F.col("n_t") + smooth)
+    # An entity in every line tells nothing.
+    share = F.when(total > F.col("n_e"), F.try_divide(F.log(total / F.col("n_e") * rate), F.log(total / F.col("n_e")))).otherwise(0.0)
     told = pairs.join(n_t, "term").withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("kind"))
     strongest = beside.join(told, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("kind").alias("kind"))
     own = F.struct("start", F.when(F.col("kind") == "remove", KINDS.index("remove")).otherwise(KINDS.index("generalise")).alias("ord"), "end", "kind", F.lit("").alias("value"))
     more = strongest.groupBy("key").agg(F.collect_list(own.cast(SPAN)).alias("more"))
-    out = base.join(more, "key", "left")
-    spans = F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))
+    return base.join(more, "key", "left").select("key", "base", F.coalesce("more", F.array().cast(f"array<{SPAN}>")).alias("more"))
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return text_rows(df, id_col, text_col).withColumn("key", F.struct("id", F.xxhash64("body").alias("mark")))
+
+
+def scan_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 1, remove: float = 0.95, generalise: float = 0.8, smooth: float = 0.2) -> DataFrame:
+    """A row for each input row: its id, n_email, n_ip, n_card, n_phone, base_sha256 and spans (base ones and those of
+    revealing terms, as kind:start:end in code points). A term counts if it stands beside the entity in ``support``
+    lines or more; ``smooth`` is the weight of the prior. Null and empty texts hold nothing; repeated rows give repeated
+    rows."""
+    out = _scanned(_keyed(df, id_col, text_col), support, remove, generalise, smooth)
+    spans = F.concat("base", "more")
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [number(k) for k in KINDS[:4]]
     return out.select(F.col("key.id").alias(id_col), *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(spans).alias("spans"))
+
+
+def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 1, remove: float = 0.95, generalise: float = 0.8, smooth: float = 0.2) -> DataFrame:
+    """The input with its texts sanitised: entities become their kind, terms to be removed go, those to be generalised
+    become [number], if they hold a digit, or [word]. Null texts stay null."""
+    scanned = _scanned(_keyed(df, id_col, text_col), support, remove, generalise, smooth)
+    spans = scanned.dropDuplicates(["key"]).select(F.col("key").alias("_key"), F.array_sort(F.concat("base", "more")).alias("_spans")).where(F.size("_spans") > 0)
+    own = F.col(f"`{text_col}`").cast("string")
+    key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(own, F.lit(""))).alias("mark"))
+    joined = df.withColumn("_own", key).join(spans, F.col("_own").eqNullSafe(F.col("_key")), "left")
+
+    def step(acc: Column, s: Column) -> Column:
+        found = F.substr(own, s["start"] + 1, s["end"] - s["start"])
+        general = F.when(found.rlike("[0-9]"), "[number]").otherwise("[word]")
+        put = F.when(s["kind"] == "remove", "").when(s["kind"] == "generalise", general).otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
+        more = F.concat(acc["out"], F.array(F.substr(own, acc["at"] + 1, s["start"] - acc["at"]), put))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    finish = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(own, acc["at"] + 1))
+    text = F.when(F.col("_spans").isNull(), own).otherwise(F.aggregate("_spans", begin, step, finish))
+    return joined.withColumn(text_col, text).drop("_own", "_key", "_spans")

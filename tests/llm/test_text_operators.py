@@ -11,7 +11,7 @@ import sentencepiece
 from braidline.llm import decontaminate as dec
 from braidline.llm import secrets as sec
 from braidline.llm.common import sha_hex, span_list
-from braidline.llm.pii import scan_pii
+from braidline.llm.pii import sanitise, scan_pii
 from braidline.llm.sentencepieces import PieceCoder, encode_texts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -163,3 +163,15 @@ def test_pii_terms_that_give_an_entity_away(spark):
         assert "the" not in terms and "memo" not in terms
     assert scan_pii(docs(spark, ["no data here"])).collect()[0].spans == ""
     assert scan_pii(docs(spark, [])).count() == 0
+
+
+def test_pii_terms_beside_a_rare_entity(spark):
+    texts = ["order K-4471 李明 mail q@rare.example and 10.1.2.3 the end\nthe rest", None, "a@b.example a@b.example", "a@b.example"] + ["the order and the mail end"] * 300
+    got = {r.doc_id: r for r in scan_pii(docs(spark, texts)).collect()}
+    terms = {texts[0][int(a) : int(b)]: k for k, a, b in (s.split(":") for s in got[0].spans.split(","))}
+    assert terms == {"q@rare.example": "email", "10.1.2.3": "ip", "K-4471": "remove", "李明": "remove"}
+    clean = {r.doc_id: r.text for r in sanitise(docs(spark, texts)).collect()}
+    assert len(clean) == len(texts) and clean[0] == "order   mail [email] and [ip] the end\nthe rest"
+    assert clean[1] is None and clean[2] == "[email] [email]" and clean[4] == texts[4]
+    every = spark.createDataFrame([(None, "x1 in z@z.example"), (1, "x1 in z@z.example")], "doc_id long, text string")
+    assert [r.text for r in sanitise(every).collect()] == ["x1 in [email]"] * 2
