@@ -3,7 +3,8 @@
 Equal vectors are one class. Classes are dealt over shards by a hash; each shard's graph is built once and written to
 the shared folder. All classes, in blocks, query every shard. A beam that comes back full of links is widened for its
 queries until it reaches beyond the threshold (past an eighth of the shard the rest is scanned). Before that, an audit
-in each shard compares a sample of queries with a scan and widens the shard's beam until the recall passes. Cosines are
+in each shard compares queries with a scan, first a sample from other shards, then the shard's own vectors, each until
+enough links other than to themselves are seen, and widens the shard's beam until the recall of both passes. Cosines are
 checked in double precision. A block's links leave their task as counts and as a spanning forest, so that a dense
 cluster costs a row for each vector and shard, not one for each pair.
 """
@@ -23,24 +24,48 @@ from .components import components
 from .hnsw import Graph
 
 SLACK = 1e-4  # single against double precision
+ENOUGH = 300  # links that an audit is to see
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def audited_beam(graph: Graph, vectors: np.ndarray, threshold: float, beam: int, recall: float, sample: int) -> int:
-    """The narrowest beam, doubled from ``beam``, whose recall on a sample of the shard passes."""
-    pick = np.random.default_rng(11).choice(len(vectors), min(sample, len(vectors)), replace=False)
-    true = vectors[pick] @ vectors.T >= threshold
-    while beam < len(vectors):
-        ids, sims = graph.search(vectors[pick], beam)
-        got = sum(int(t[i[(s >= threshold - SLACK) & (i >= 0)]].sum()) for t, i, s in zip(true, ids, sims, strict=True))
-        full = sims[:, -1] >= threshold - SLACK  # widened later, for these queries alone
-        lost = int(true.sum(1)[~full].sum()) - sum(int(t[i[(s >= threshold - SLACK) & (i >= 0)]].sum()) for t, i, s, f in zip(true, ids, sims, full, strict=True) if not f)
-        if lost <= (1 - recall) * max(1, int(true.sum(1)[~full].sum())) or got >= recall * int(true.sum()):
+def probes(vectors: np.ndarray, q: np.ndarray, threshold: float, step: int, own: np.ndarray | None = None):
+    """Those of ``q`` that have links, and their links, as far as ENOUGH are seen; ``own``: their places in vectors."""
+    asked, true, seen = [q[:0]], [np.zeros((0, len(vectors)), bool)], 0
+    for lo in range(0, len(q), step):
+        part = q[lo : lo + step]
+        t = part @ vectors.T >= threshold
+        if own is not None:
+            t[np.arange(len(part)), own[lo : lo + step]] = False
+        some = t.any(1)
+        asked.append(part[some])
+        true.append(t[some])
+        seen += int(t.sum())
+        if seen >= ENOUGH:
             break
-        beam *= 2
+    return np.concatenate(asked), np.concatenate(true)
+
+
+def audited_beam(graph: Graph, vectors: np.ndarray, threshold: float, beam: int, recall: float, sample: int, others: np.ndarray) -> int:
+    """The narrowest beam, doubled from ``beam``, whose recall passes for ``others``, vectors of other shards, and for
+    the shard's own, ``sample`` at a time."""
+    if beam * 8 >= len(vectors):  # scanned anyway
+        return beam
+    order = np.random.default_rng(11).permutation(len(vectors))
+    for q, true in (probes(vectors, others, threshold, sample), probes(vectors, vectors[order], threshold, sample, order)):
+        while len(q) and beam * 8 < len(vectors):
+            links = lost = 0
+            for lo in range(0, len(q), 512):
+                ids, sims = graph.search(q[lo : lo + 512], beam)
+                for t, i, s in zip(true[lo : lo + 512], ids, sims, strict=True):
+                    if s[-1] < threshold - SLACK or i[-1] < 0:  # full beams are widened later, for these queries alone
+                        links += int(t.sum())
+                        lost += int(t.sum()) - int(t[i[(s >= threshold - SLACK) & (i >= 0)]].sum())
+            if lost <= (1 - recall) * links:
+                break
+            beam *= 2
     return beam
 
 
@@ -92,11 +117,12 @@ def _loaded(blob: bytes):
     return pickle.loads(blob)
 
 
-def embedding_dups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, shards: int = 8, shard_rows: int = 50_000, beam: int = 48, recall: float = 0.97, audit: int = 64, block: int = 4096) -> DataFrame:
+def embedding_dups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, shards: int = 8, shard_rows: int = 50_000, beam: int = 48, recall: float = 0.97, audit: int = 64, asking: int = 2048, block: int = 4096) -> DataFrame:
     """A row for each input row: its id, n_links (other vectors linked directly), component_id (smallest id reachable)
     and kept (it is that id). Vectors that are null, zero or hold null or non-finite components link with nothing;
     vectors of different lengths never link. ``shards`` is the least number; a shard takes about ``shard_rows``
-    classes. Rows that share an id are different vectors of one component."""
+    classes. ``asking`` vectors, chosen by a hash, audit the shards that they aren't in. Rows that share an id are
+    different vectors of one component."""
     spark = df.sparkSession
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     whole = F.expr("v is not null and size(v) > 0 and not exists(v, c -> c is null or isnan(c) or abs(c) = double('infinity')) and exists(v, c -> c <> 0)")
@@ -106,6 +132,10 @@ def embedding_dups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     shards = max(shards, -(-n // shard_rows))
     sharded = classes.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
 
+    asks: dict = {}
+    for r in sharded.orderBy(F.xxhash64("v"), "rep").select("dim", "shard", "v").limit(asking).toLocalIterator():
+        asks.setdefault(r.dim, []).append((r.shard, np.array(r.v, np.float64)))
+
     def packed(batches, size, build):
         """Rows of (dim, shard) or of dim, in packs."""
         held: dict = {}
@@ -125,7 +155,8 @@ def embedding_dups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         def build(d, s, reps, weights, vectors):
             x = unit(np.array(vectors, np.float64))
             graph = Graph(x)
-            wide = audited_beam(graph, x, threshold, beam, recall, audit)
+            others = [v for shard, v in asks.get(d, []) if shard != s]
+            wide = audited_beam(graph, x, threshold, beam, recall, audit, unit(np.array(others)) if others else x[:0])
             return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([s], pa.int32()), pa.array([pickle.dumps((np.array(reps), np.array(weights), x, graph, wide), 5)], pa.binary())], ["dim", "shard", "graph"])
 
         yield from packed(batches, 0, build)

@@ -8,7 +8,7 @@ import pytest
 
 from braidline.llm.common import shared_path
 from braidline.llm.components import components
-from braidline.llm.embedding_dups import embedding_dups
+from braidline.llm.embedding_dups import audited_beam, embedding_dups, unit
 from braidline.llm.hnsw import Graph
 from braidline.llm.line_dedup import dedup_lines, line_verdicts
 from braidline.llm.ngram_join import bands, linked, ngram_join, signatures
@@ -132,6 +132,35 @@ def test_embedding_dups(spark):
     assert embedding_dups(df.limit(0)).count() == 0
 
 
+def test_audit_leaves_self_matches_out():
+    rng = np.random.default_rng(5)
+    x = unit(rng.normal(size=(1000, 16)))
+    x[500:510] = unit(x[:10] + 0.01 * rng.normal(size=(10, 16)))
+
+    class Narrow:
+        """Finds a vector itself, and others only with a beam of 90 and more."""
+
+        def search(self, q, beam):
+            sims = q @ x.T
+            sims[(sims < 1 - 1e-9) & (beam < 90)] = -1
+            ids = np.argsort(-sims, axis=1)[:, :beam]
+            return ids, np.take_along_axis(sims, ids, 1)
+
+    assert audited_beam(Narrow(), x, 0.95, 48, 0.97, 64, unit(x[:10] + 0.01 * rng.normal(size=(10, 16)))) == 96
+    assert audited_beam(Narrow(), x, 0.95, 48, 0.97, 64, x[:0]) == 96
+
+
+def test_embedding_dups_in_shards_that_are_not_scanned(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1600, 16))
+    x[1500:] = x[:100] + rng.normal(scale=0.2, size=(100, 16))  # few links
+    u = unit(x)
+    want = ((u @ u.T >= 0.9).sum(1) - 1).tolist()
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dups(df, shards=2).collect()}
+    assert sum(want) > 100 and [got[k] for k in range(len(x))] == want
+
+
 def test_graph_recall():
     x = np.random.default_rng(3).normal(size=(3000, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
