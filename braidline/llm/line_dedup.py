@@ -118,8 +118,9 @@ def similar_classes(keyed: DataFrame, lines: DataFrame, firsts: DataFrame, num:
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, least: int = 5) -> DataFrame:
     """(id, line): the lines, counted from 0, for which an earlier line has a similarity of num/den or more. Lines with
     fewer than ``least`` distinct words never go. Rows that share an id are one document: their lines of one number
-    stay or go alike. Null texts have no lines."""
-    rows = text_rows(df, id_col, text_col)
+    stay or go alike. Null texts have no lines; those of rows without id can't be named and neither go nor make others
+    go, as if they came last."""
+    rows = text_rows(df, id_col, text_col).where("id is not null")
     lines = _line_table(rows, _octaves(rows))
     size = F.size("h")
     prefix = size - F.floor((size * num + den - 1) / den).cast("int") + 1

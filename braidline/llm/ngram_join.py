@@ -191,15 +191,17 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """A row for each input row: its id, n_shingles (size of its set) and component_id, the smallest id reachable over
     links, itself included; two documents link when their sets' Jaccard similarity is num/den or more. Null and empty
-    texts have an empty set and link with nothing. Rows that share an id are one document with several sets."""
+    texts have an empty set and link with nothing. Rows that share an id are one document with several sets; rows without
+    id lead nothing, and have the component of a document with the same set, if there is one."""
     spark = df.sparkSession
     small_batches(spark)
     rows = text_rows(df, id_col, text_col)
     id_type = rows.schema["id"].dataType.simpleString()
 
     sizes = settle(_sizes(rows, size, id_type), "sizes")
-    first = sizes.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
-    reps = settle(sizes.where("n > 0").join(first.select("key", "rep"), "key").select("id", "rep").distinct(), "reps")
+    rows = rows.where("id is not null")
+    first = settle(sizes.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "first")
+    reps = settle(sizes.where("n > 0 and id is not null").join(first.select("key", "rep"), "key").select("id", "rep").distinct(), "reps")
 
     # Each member of a bucket beside the bucket's leader; buckets of one leave nothing.
     ordered = Window.partitionBy("sig").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -236,4 +238,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     forget(groups, bucketed, open_, led, sets)
     final = components(links.unionByName(last).unionByName(reps.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")))
 
-    return sizes.join(final, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    # Rows without id go by their set.
+    named = sizes.where("id is not null").select("id", "n", F.col("id").alias("name"))
+    nameless = sizes.where("id is null").join(first.select("key", F.col("rep").alias("name")), "key", "left").select("id", "n", "name")
+    out = named.unionByName(nameless).join(final.select(F.col("id").alias("name"), "component"), "name", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "name").alias("component_id"))

@@ -91,6 +91,18 @@ def test_ngram_join(spark):
     assert ngram_join(docs(spark, [])).count() == 0
 
 
+def test_rows_without_id(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join([*base[:-1], "x"])
+    line, like = "one two three four five six seven eight nine ten", "one two three four five six seven eight nine other"
+    texts = [(None, " ".join(base)), (1, " ".join(base)), (2, near), (None, "alone here at last"), (None, line), (3, line), (4, like), (5, line)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join(df).collect())
+    assert [c for d, c in got if d] == [1, 1, 3, 4, 3] and [c for d, c in got if not d] == [0, 1, 3]
+    removed = {(r.doc_id, r.n_removed) for r in line_verdicts(df).collect()}
+    assert removed == {(None, 0), (1, 0), (2, 1), (3, 0), (4, 1), (5, 1)}
+
+
 def test_line_dedup(spark):
     rng = random.Random(6)
     words = [f"v{k}" for k in range(80)]
