@@ -2,13 +2,16 @@
 
 A line is the set of its distinct lower-cased words. Equal sets are one class. The words of a set are ordered by rarity
 and only a prefix of them is joined: two sets with Jaccard similarity of ``num``/``den`` or more share a word there. The
-lengths of the sets, the positions of the shared word and a 128-bit parity map of the sets bound their overlap, all
+lengths of the sets, the positions of the shared word and a 64-bit parity map of the sets bound their overlap, all
 within the join's condition; what is left is verified on the whole sets. A line goes if an earlier line, by document id
 and line number, is that similar to it.
 
-Two sketches of fixed size reach every task: how often words of a hash bucket occur in the corpus, a byte each (the
-order by rarity; any order gives the same result), and a bit map of the lines that stand for candidates (only
-their words are gathered for verification). Sets are held as 64-bit word hashes.
+One witness suffices, so a group of near copies isn't listed pair by pair. First each class meets a few leaders: the
+earliest classes that share one of its rarest words and its band of lengths. Only classes that no leader beats are then
+joined with all earlier ones.
+
+Words count as equal if their 64-bit hashes are. A sketch of fixed size reaches every task: how often the words of a
+hash bucket occur in the corpus. It makes the order by rarity; any order gives the same result.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import forget, settle, text_rows
 
-RARITY_BITS, CANDIDATE_BITS = 16, 23
-LONG = 60  # sets beyond this use both halves of the parity map
+RARITY_BITS, CANDIDATE_BITS = 17, 23
+LEADING, LEADERS = 4, 3  # rarest words that look for leaders, leaders of a word and band
 
 
 def _plain(body: Column) -> Column:
@@ -27,43 +30,34 @@ def _plain(body: Column) -> Column:
     low = F.lower(body)
     odd = F.lit(False)
     for c in "\t\r\x0b\x0c":
-        odd = odd | (F.instr(body, c) > 0)
+        odd = odd | F.contains(body, F.lit(c))
     return F.when(odd, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low)
 
 
-def _bucket(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit((1 << RARITY_BITS) - 1).cast("long"))
-
-
-def _number(word: Column, octaves: Column) -> Column:
-    """A word as a number that grows with its frequency: the octave of its bucket, then 5 bits that are the smaller the
-    longer it is (long words tend to be rare), then 52 bits of its hash."""
-    octave = F.ascii(F.substring(octaves, _bucket(word).cast("int") + 1, 1)).cast("long")
-    length = (31 - F.least(F.length(word), F.lit(31))).cast("long")
-    return F.shiftleft(octave, 57).bitwiseOR(F.shiftleft(length, 52)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 12))
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit((1 << RARITY_BITS) - 1).cast("long"))
 
 
-def _line_table(rows: DataFrame, octaves: bytes) -> DataFrame:
-    """(id, line, h): lines as arrays of their distinct words' numbers, rare words first."""
-    spread = F.lit(bytearray(octaves))
-    lines = rows.select("id", F.posexplode(F.split(_plain(F.col("body")), "\n", -1)).alias("line", "text"))
-    words = F.array_remove(F.array_distinct(F.split("text", " ", -1)), "")
-    return lines.select("id", "line", F.sort_array(F.transform(words, lambda w: _number(w, spread))).alias("h"))
+def _cut(rows: DataFrame) -> DataFrame:
+    """(id, line, text), lines counted from 0."""
+    return rows.select("id", F.posexplode(F.split(_plain(F.col("body")), "\n", -1)).alias("line", "text"))
 
 
-def _named(lines: DataFrame) -> DataFrame:
-    """Beside each line its class: a 64-bit and a 32-bit hash of the set."""
-    return lines.withColumn("c", F.struct(F.xxhash64("h").alias("x"), F.hash("h").alias("y"), F.size("h").alias("n")))
+def _sets(lines: DataFrame) -> DataFrame:
+    """(id, line, h): lines as arrays of their distinct words' hashes."""
+    hashes = F.array_distinct(F.transform(F.split("text", " ", -1), lambda w: F.xxhash64(w)))
+    return lines.select("id", "line", F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("h"))
 
 
-def _octaves(rows: DataFrame) -> bytes:
-    """For each hash bucket the octave of how often the corpus has its words; the sketch's size is fixed."""
+def _rarity(rows: DataFrame) -> Column:
+    """For each hash bucket a number, at most 127, that grows with how often the corpus has its words; a constant array of
+    a fixed size."""
     words = rows.select(F.explode(F.split(F.replace(F.lower("body"), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w"))
-    counted = words.groupBy(_bucket(F.col("w")).alias("bucket")).agg(F.count("*").alias("n"))
+    counted = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("n"))
     every = rows.sparkSession.range(1 << RARITY_BITS).withColumnRenamed("id", "bucket").join(counted, "bucket", "left")
-    scaled = every.select("bucket", F.lpad(F.hex(F.floor(F.log2(1 + F.coalesce("n", F.lit(0)))).cast("int") + 1), 2, "0").alias("n"))
+    scaled = every.select("bucket", F.least(F.floor(3 * F.log2(1 + F.coalesce("n", F.lit(0)))), F.lit(127)).cast("string").alias("n"))
     ordered = scaled.agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("a"))
-    return bytes.fromhex(ordered.select(F.array_join(F.transform("a", lambda s: s["n"]), "")).first()[0])
+    return F.split(F.lit(ordered.select(F.array_join(F.transform("a", lambda s: s["n"]), ",")).first()[0]), ",").cast("array<bigint>")
 
 
 def _parity(h: Column) -> Column:
@@ -82,56 +76,84 @@ def _flags(lines: DataFrame) -> DataFrame:
     return ordered.select(F.transform("a", lambda s: s["bits"]).alias("flags"))
 
 
-def similar_classes(keyed: DataFrame, lines: DataFrame, firsts: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of different classes whose sets are similar enough. ``keyed`` holds id, line, c, prefix, p, q."""
-    # One row for each class and prefix word; copies of a class meet on the word's partition and become one.
-    words = keyed.select(F.posexplode("prefix").alias("at", "word"), F.col("c.x").alias("x"), F.col("c.y").alias("y"), F.col("c.n").alias("n"), "p", "q").repartition("word").dropDuplicates(["word", "x", "y", "n"])
-    a, b = words.alias("a"), words.alias("b")
-    na, nb = F.col("a.n"), F.col("b.n")
-    total = na + nb
-    # Of two long sets both halves are compared, else the whole maps, which the halves make up.
-    halves = F.bit_count(F.col("a.p").bitwiseXOR(F.col("b.p"))) + F.bit_count(F.col("a.q").bitwiseXOR(F.col("b.q")))
-    wholes = F.bit_count(F.col("a.p").bitwiseXOR(F.col("b.p")).bitwiseXOR(F.col("a.q")).bitwiseXOR(F.col("b.q")))
-    differ = F.when((na > LONG) & (nb > LONG), halves).otherwise(wholes)
-    close = (
-        (na <= nb)
-        & (na * den >= nb * num)
-        & (F.least(na - F.col("a.at"), nb - F.col("b.at")) * (num + den) >= total * num)
-        & (differ * (num + den) <= total * (den - num))
-        & ((na < nb) | (F.col("a.x") < F.col("b.x")) | ((F.col("a.x") == F.col("b.x")) & (F.col("a.y") < F.col("b.y"))))
+def _set_hash() -> Column:
+    """64 bits that name a set; with ``_classes``' other 32 bits and the size they name a class."""
+    return F.xxhash64(F.sort_array("h"))
+
+
+def _classes(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(id, line, x, y, n) for each line with words, and for each class its first line, prefix and parity map."""
+    rarity = _rarity(rows)
+    ranks = F.sort_array(F.transform("h", lambda h: F.shiftleft(F.get(rarity, _bucket(h).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    ranked = _sets(_cut(rows)).select("id", "line", _set_hash().alias("x"), ranks.alias("r"))
+    size = F.size("r")
+    prefix = F.slice("r", F.lit(1), F.greatest(size - F.floor((size * num + den - 1) / den).cast("int") + 1, F.lit(0)))
+    named = ranked.select("id", "line", "x", F.hash("r").alias("y"), size.alias("n"), _parity(F.col("r")).alias("p"), prefix.alias("prefix"))
+    lines = settle(named, "lines").where("n > 0")
+    classes = lines.groupBy("x", "y", "n").agg(F.min(F.struct("id", "line")).alias("first"), F.first("p").alias("p"), F.first("prefix").alias("prefix"))
+    return lines.select("id", "line", "x", "y", "n"), settle(classes, "classes")
+
+
+def _tuples(classes: DataFrame, prefix: Column, *more: str) -> DataFrame:
+    """A row for each class and word of its prefix; of a word 32 bits of its hash are enough to meet."""
+    each = classes.select(F.posexplode(prefix).alias("at", "w"), "x", "n", "p", F.col("first.id").alias("id"), F.col("first.line").alias("line"), *more)
+    return each.withColumn("w", F.col("w").bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
+
+
+def _may_beat(a: str, b: str, num: int, den: int, past: Column | int = 0) -> Column:
+    """Is ``a`` earlier, and do lengths, positions and parity maps let it be similar to ``b``? ``past`` is beyond any
+    difference where ``b`` is out already; as a part of the comparison it lets both sides share one shuffle."""
+    c = lambda t, k: F.col(f"{t}.{k}")
+    total = c(a, "n") + c(b, "n")
+    return (
+        (F.least(c(a, "n"), c(b, "n")) * den >= F.greatest(c(a, "n"), c(b, "n")) * num)
+        & (F.least(c(a, "n") - c(a, "at"), c(b, "n") - c(b, "at")) * (num + den) >= total * num)
+        & (F.bit_count(c(a, "p").bitwiseXOR(c(b, "p"))) * (num + den) + past <= total * (den - num))
+        & ((c(a, "id") < c(b, "id")) | ((c(a, "id") == c(b, "id")) & (c(a, "line") < c(b, "line"))))
     )
-    whole = lambda t: F.struct(*(F.col(f"{t}.{k}").alias(k) for k in ("x", "y", "n"))).alias(t)
-    pairs = settle(a.join(b, (F.col("a.word") == F.col("b.word")) & close).select(whole("a"), whole("b")).distinct(), "pairs")
-    some = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    wanted = firsts.join(some, "c").select("c", "first.id", "first.line")
+
+
+def _beaten(pairs: DataFrame, classes: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(x): the second of those ``pairs`` (a, b) whose whole sets are similar enough. Only the sets that occur in pairs
+    are gathered: a bit map of fixed size finds their lines, a join confirms them."""
+    some = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
+    wanted = settle(classes.join(some, "x").select("x", "first.id", "first.line"), "wanted")
     flags = _flags(wanted).scalar()
     place = F.xxhash64("id", "line").bitwiseAND(F.lit((1 << CANDIDATE_BITS) - 1))
     hit = F.call_function("getbit", F.get(flags, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
-    sets = _named(lines.where(hit)).join(wanted, ["c", "id", "line"], "left_semi").select("c", "h").dropDuplicates(["c"])
-    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("c").alias("b"), F.col("h").alias("hb")), "b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    out = settle(both.where(shared * (num + den) >= (F.col("a.n") + F.col("b.n")) * num).select("a", "b"), "similar")
-    forget(pairs)
+    sets = _sets(_cut(rows).where(hit)).withColumn("x", _set_hash()).join(wanted, ["id", "line", "x"]).select("x", "h").dropDuplicates(["x"])
+    both = pairs.join(sets.select(F.col("x").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("x").alias("b"), F.col("h").alias("hb")), "b")
+    out = settle(both.where(F.size(F.array_intersect("ha", "hb")) * (num + den) >= (F.size("ha") + F.size("hb")) * num).select(F.col("b").alias("x")).distinct(), "beaten")
+    forget(wanted)
     return out
 
 
-def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, least: int = 5) -> DataFrame:
-    """(id, line): the lines, counted from 0, for which an earlier line has a similarity of num/den or more. Lines with
-    fewer than ``least`` distinct words never go. Rows that share an id are one document: their lines of one number
-    stay or go alike. Null texts have no lines; those of rows without id can't be named and neither go nor make others
-    go, as if they came last."""
+def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5) -> DataFrame:
+    """(id, line): the lines, counted from 0, for which an earlier line has a similarity of num/den or more. Lines without
+    words never go. Rows that share an id are one document: their lines of one number stay or go alike. Null texts have
+    no lines; those of rows without id can't be named and neither go nor make others go, as if they came last."""
     rows = text_rows(df, id_col, text_col).where("id is not null")
-    lines = _line_table(rows, _octaves(rows))
-    size = F.size("h")
-    prefix = size - F.floor((size * num + den - 1) / den).cast("int") + 1
-    second = F.when(size > LONG, _parity(F.filter("h", lambda x: x.bitwiseAND(F.lit(64).cast("long")) != 0))).otherwise(F.lit(0).cast("long"))
-    keyed = settle(_named(lines).select("id", "line", "c", F.slice("h", F.lit(1), prefix).alias("prefix"), _parity(F.col("h")).alias("all"), second.alias("q")).withColumn("p", F.col("all").bitwiseXOR(F.col("q"))).drop("all"), "lines").where(F.col("c.n") >= least)
-    firsts = settle(keyed.groupBy("c").agg(F.min(F.struct("id", "line")).alias("first")), "firsts")
-    alike = similar_classes(keyed, lines, firsts, num, den)
-    dated = alike.join(firsts.select(F.col("c").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("c").alias("b"), F.col("first").alias("fb")), "b")
-    beaten = dated.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("c")).distinct().withColumn("beaten", F.lit(True))
-    told = firsts.join(beaten, "c", "left")
-    return keyed.select("id", "line", "c").join(told, "c").where((F.struct("id", "line") != F.col("first")) | F.coalesce("beaten", F.lit(False))).select("id", "line").distinct()
+    lines, classes = _classes(rows, num, den)
+    # A set so small that one more word makes it another has only the copies of its class.
+    open_ = classes.where(F.col("n") * (den - num) >= num)
+
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num)))
+    leading = _tuples(open_, F.slice("prefix", 1, LEADING)).withColumns({"band": band, "turn": F.pmod("x", F.lit(LEADERS))})
+    leaders = leading.groupBy("w", "band", "turn").agg(F.min(F.struct("id", "line", "x", "n", "p", "at")).alias("a"))
+    met = leading.drop("turn").alias("b").join(leaders.select("w", "band", "a.*").alias("a"), ["w", "band"]).where(_may_beat("a", "b", num, den))
+    led = settle(met.select(F.col("a.x").alias("a"), F.col("b.x").alias("b")).distinct(), "led")
+    beaten = _beaten(led, classes, rows, num, den)
+
+    told = open_.join(beaten.withColumn("past", F.lit(1 << 40)), "x", "left").withColumn("past", F.coalesce("past", F.lit(0).cast("long")))
+    words = _tuples(told, F.col("prefix"), "past")
+    met = words.alias("a").join(words.alias("b"), (F.col("a.w") == F.col("b.w")) & _may_beat("a", "b", num, den, F.col("b.past")))
+    pairs = settle(met.select(F.col("a.x").alias("a"), F.col("b.x").alias("b")).distinct().join(led, ["a", "b"], "left_anti"), "pairs")
+    beaten = beaten.unionByName(_beaten(pairs, classes, rows, num, den))
+    forget(led, pairs)
+
+    known = classes.select("x", "y", "n", "first").join(beaten.distinct().withColumn("beaten", F.lit(True)), "x", "left")
+    gone = lines.join(known, ["x", "y", "n"]).where((F.struct("id", "line") != F.col("first")) | F.coalesce("beaten", F.lit(False)))
+    return gone.select("id", "line").distinct()
 
 
 def line_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

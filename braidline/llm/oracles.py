@@ -48,7 +48,7 @@ FROM s LEFT JOIN d ON s.g = d.g LEFT JOIN m ON m.id = d.rep
 OP1 = r"""
 WITH l AS (SELECT doc_id, n_lines, k - 1 AS line, list_sort(list_distinct(list_filter(string_split_regex(lower(t[k]), '[\x09\x0B-\x0D\x20]+'), lambda x: x <> ''))) AS g
            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines FROM documents), unnest(range(1, n_lines + 1)) AS r(k)),
-c AS (SELECT g, len(g) AS n, min((doc_id, line)) AS f, row_number() OVER () AS id FROM l WHERE len(g) >= 5 GROUP BY g),
+c AS (SELECT g, len(g) AS n, min((doc_id, line)) AS f, row_number() OVER () AS id FROM l WHERE len(g) >= 1 GROUP BY g),
 tok AS (SELECT id, n, f, unnest(g) AS x FROM c),
 freq AS (SELECT x, count(*) AS k FROM tok GROUP BY x),
 pre AS (SELECT * FROM (SELECT id, n, f, tok.x, row_number() OVER (PARTITION BY id ORDER BY k, tok.x) AS p FROM tok JOIN freq ON tok.x = freq.x) WHERE p <= n - CAST(ceil(n * 4 / 5) AS INT) + 1),

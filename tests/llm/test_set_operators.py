@@ -105,9 +105,9 @@ def test_rows_without_id(spark):
 
 def test_line_dedup(spark):
     rng = random.Random(6)
-    words = [f"v{k}" for k in range(80)]
+    words = [f"v{k}" for k in range(300)]
     texts = [None, "", "\n\n", "few words\nfew words"]
-    lines = [rng.choices(words, k=rng.choice([4, 6, 10, 25])) for _ in range(25)]
+    lines = [rng.choices(words, k=rng.choice([1, 4, 5, 6, 10, 25, 70, 140])) for _ in range(25)]
     for _ in range(40):
         got = []
         for _ in range(rng.randint(1, 6)):
@@ -117,7 +117,7 @@ def test_line_dedup(spark):
             got.append("  ".join(line).upper() if rng.random() < 0.3 else " ".join(line))
         texts.append("\n".join(got))
     flat = [(d, n, set(x.lower().split())) for d, t in enumerate(texts) for n, x in enumerate((t or "").split("\n"))]
-    gone = {(d, n) for k, (d, n, s) in enumerate(flat) if len(s) >= 5 and any(len(o) >= 5 and 5 * len(s & o) >= 4 * len(s | o) for _, _, o in flat[:k])}
+    gone = {(d, n) for k, (d, n, s) in enumerate(flat) if s and any(5 * len(s & o) >= 4 * len(s | o) for _, _, o in flat[:k])}
     got = {r.doc_id: r for r in line_verdicts(docs(spark, texts)).collect()}
     assert {(d, int(n)) for d, r in got.items() for n in r.removed.split(",") if n} == gone
     cleaned = {r.doc_id: r.text for r in dedup_lines(docs(spark, texts)).collect()}
