@@ -298,10 +298,10 @@ def top_slow_statements(spark, sf):
     return table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(24).select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("cost"))
 
 
-@query(f"WITH {D} SELECT file, line, code, row_number() OVER (ORDER BY p, file, line, code) AS place FROM (SELECT DISTINCT file, line, code, CASE WHEN code LIKE 'DYNAMIC%' OR code = 'UNRESOLVED' THEN 0 WHEN code = 'PARSE_FAILED' THEN 1 ELSE 2 END AS p FROM d WHERE line < 100) ORDER BY place LIMIT 50")
+@query(f"WITH {D} SELECT file, line, code, row_number() OVER (ORDER BY p, file, line, code) AS place FROM (SELECT DISTINCT file, line, code, CASE WHEN code LIKE 'DYNAMIC%' OR code = 'UNRESOLVED' THEN 0 WHEN code = 'PARSE_FAILED' THEN 1 ELSE 2 END AS p FROM d) ORDER BY place LIMIT 50")
 def diagnose_order(spark, sf):
     p = F.when(F.startswith("code", F.lit("DYNAMIC")) | (F.col("code") == "UNRESOLVED"), 0).when(F.col("code") == "PARSE_FAILED", 1).otherwise(2)
-    top = diagnostics(spark, sf).where("line < 100").select("file", "line", "code", p.alias("p")).distinct().orderBy("p", "file", "line", "code").limit(50)
+    top = diagnostics(spark, sf).select("file", "line", "code", p.alias("p")).distinct().orderBy("p", "file", "line", "code").limit(50)
     return top.select("file", "line", "code", F.row_number().over(Window.orderBy("p", "file", "line", "code")).cast("long").alias("place"))
 
 
@@ -377,9 +377,9 @@ def score_tier(spark, sf):
     return score.tiers(column_graph(spark, sf), engine_graph(spark, sf), manifest)
 
 
-@query(f"WITH {E}, p AS (SELECT DISTINCT source, target FROM a WHERE file = 'f3.sql'), q AS (SELECT DISTINCT source, target FROM e WHERE file = 'f3.sql'), c AS (SELECT x.source AS d, x.target AS m, y.target AS t FROM p x JOIN p y ON x.target = y.source WHERE x.source <> y.target) SELECT count(*) AS total, count(*) FILTER (u.source IS NOT NULL AND v.source IS NOT NULL) AS completed, round(count(*) FILTER (u.source IS NOT NULL AND v.source IS NOT NULL) / count(*), 4) AS rate FROM c LEFT JOIN q u ON u.source = d AND u.target = m LEFT JOIN q v ON v.source = m AND v.target = t")
+@query(f"WITH {E}, p AS (SELECT DISTINCT source, target FROM a), q AS (SELECT DISTINCT source, target FROM e), c AS (SELECT x.source AS d, x.target AS m, y.target AS t FROM p x JOIN p y ON x.target = y.source WHERE x.source <> y.target) SELECT count(*) AS total, count(*) FILTER (u.source IS NOT NULL AND v.source IS NOT NULL) AS completed, round(count(*) FILTER (u.source IS NOT NULL AND v.source IS NOT NULL) / count(*), 4) AS rate FROM c LEFT JOIN q u ON u.source = d AND u.target = m LEFT JOIN q v ON v.source = m AND v.target = t")
 def score_multihop(spark, sf):
-    return score.multi_hop(column_graph(spark, sf).where("file = 'f3.sql'"), engine_graph(spark, sf).where("file = 'f3.sql'"))
+    return score.multi_hop(column_graph(spark, sf), engine_graph(spark, sf))
 
 
 @query(f"WITH {E} SELECT {PRF.format(by='', both=BOTH.format(k='source, target, file, line'))}")
@@ -388,9 +388,9 @@ def score_table_grain(spark, sf):
     return score.rates(score.compared(column_graph(spark, sf), engine_graph(spark, sf), keys))
 
 
-@query(f"WITH {A}, {D}, f AS (SELECT DISTINCT file FROM a), b AS (SELECT DISTINCT file FROM d WHERE code = 'PARSE_FAILED' AND line < 20) SELECT count(*) AS files, count(b.file) AS failed, round((count(*) - count(b.file)) / count(*), 4) AS rate FROM f LEFT JOIN b USING (file)")
+@query(f"WITH {A}, {D}, f AS (SELECT DISTINCT file FROM a), b AS (SELECT DISTINCT file FROM d WHERE code = 'PARSE_FAILED') SELECT count(*) AS files, count(b.file) AS failed, round((count(*) - count(b.file)) / count(*), 4) AS rate FROM f LEFT JOIN b USING (file)")
 def score_parse_rate(spark, sf):
-    return score.parse_rate(column_graph(spark, sf), diagnostics(spark, sf).where("line < 20"))
+    return score.parse_rate(column_graph(spark, sf), diagnostics(spark, sf))
 
 
 @query(f"WITH {A}, {D}, p AS (SELECT DISTINCT file, line FROM d WHERE code = 'DYNAMIC_SQL_PARTIAL'), l AS (SELECT DISTINCT file, line FROM a WHERE kind = 'TRANSFORM') SELECT bucket, count(*) AS n FROM (SELECT DISTINCT 'unresolved' AS bucket, file, line FROM d WHERE code = 'DYNAMIC_SQL' UNION ALL SELECT 'partial', file, line FROM p UNION ALL SELECT 'full', file, line FROM l ANTI JOIN p USING (file, line)) GROUP BY bucket")

@@ -25,6 +25,8 @@ STATEMENTS: dict[str, tuple[str, list[tuple[str, str, str]]]] = {
     "dblink_edges": ("INSERT INTO SYN.T{n} (A) SELECT a.X FROM SYN.A{r}@ERPLINK a", [("SYN.T{n}.A", "SYN.A{r}@ERPLINK.X", "DIRECT")]),
     "exists_filters": ("INSERT INTO SYN.T{n} (A) SELECT s.X FROM SYN.S{n} s WHERE EXISTS (SELECT 1 FROM SYN.E{r} e WHERE e.K = s.K)", [("SYN.T{n}.A", "SYN.S{n}.X", "DIRECT"), ("SYN.T{n}.*", "SYN.E{r}.K", "INDIRECT_FILTER"), ("SYN.T{n}.*", "SYN.S{n}.K", "INDIRECT_FILTER")]),
     "unqualified_edges": ("INSERT INTO SYN.T{n} (A, B) SELECT X, Y || Z FROM SYN.S{r}", [("SYN.T{n}.A", "SYN.S{r}.X", "DIRECT"), ("SYN.T{n}.B", "SYN.S{r}.Y", "TRANSFORM"), ("SYN.T{n}.B", "SYN.S{r}.Z", "TRANSFORM")]),
+    "function_from_edges": ("INSERT INTO SYN.T{n} (A, B, C) SELECT TRIM(BOTH ' ' FROM s.X), EXTRACT(YEAR FROM s.D), MAX(s.Q) KEEP (DENSE_RANK LAST ORDER BY s.G) FROM SYN.S{r} s", [("SYN.T{n}.A", "SYN.S{r}.X", "TRANSFORM"), ("SYN.T{n}.B", "SYN.S{r}.D", "TRANSFORM"), ("SYN.T{n}.C", "SYN.S{r}.Q", "AGGREGATE"), ("SYN.T{n}.C", "SYN.S{r}.G", "AGGREGATE")]),
+    "insert_all_edges": ("INSERT ALL WHEN F = 1 THEN INTO SYN.T{n} (A) VALUES (X) ELSE INTO SYN.U{r} (B, C) VALUES (Y, {n}) SELECT s.X, s.Y, s.F FROM SYN.S{r} s WHERE s.Z > {n}", [("SYN.T{n}.A", "SYN.S{r}.X", "DIRECT"), ("SYN.U{r}.B", "SYN.S{r}.Y", "DIRECT"), ("SYN.T{n}.*", "SYN.S{r}.F", "INDIRECT_FILTER"), ("SYN.T{n}.*", "SYN.S{r}.Z", "INDIRECT_FILTER"), ("SYN.U{r}.*", "SYN.S{r}.Z", "INDIRECT_FILTER")]),
     "hint_edges": ("INSERT /*+ APPEND */ INTO SYN.T{n} (A) SELECT /*+ PARALLEL(s 4) */ s.X -- all\n FROM SYN.S{r} s", [("SYN.T{n}.A", "SYN.S{r}.X", "DIRECT")]),
 }
 
@@ -46,6 +48,8 @@ FLOWS: dict[str, tuple[str, str, list[tuple[str, str, str]]]] = {
 #: Statements with the diagnostic that they must give.
 DIAGNOSED: dict[str, tuple[str, str]] = {
     "param_unresolved_diag": ("INSERT INTO SYN.T{n} (A) VALUES (P_{n});", "PARAMETER_UNRESOLVED"),
+    "ambiguous_name_diag": ("INSERT INTO SYN.T{n} (A) SELECT X FROM SYN.A{r}, SYN.B{n};", "UNRESOLVED"),
+    "unknown_name_diag": ("INSERT INTO SYN.T{n} (A) VALUES (v_{n});", "UNRESOLVED"),
     "star_unresolved_diag": ("INSERT INTO SYN.T{n} (A) SELECT s.* FROM SYN.S{r} s;", "STAR_UNRESOLVED"),
     "dynamic_diag": ("EXECUTE IMMEDIATE v_{n};", "DYNAMIC_SQL"),
     "dynamic_partial_diag": ("EXECUTE IMMEDIATE 'INSERT INTO SYN.L{n} (A) SELECT B FROM SYN.Q{r} WHERE X = ' || v_x;", "DYNAMIC_SQL_PARTIAL"),
@@ -60,6 +64,8 @@ RELATED: dict[str, tuple[str, list[tuple[str, str, str]]]] = {
     "statement_relations": ("INSERT INTO SYN.T{n} (A) WITH c AS (SELECT X FROM SYN.A{r}) SELECT c.X FROM c, SYN.B{n} b WHERE b.K IN (SELECT K FROM SYN.G{r});", [("SYN.A{r}", "SYN.T{n}", "INSERT"), ("SYN.B{n}", "SYN.T{n}", "INSERT"), ("SYN.G{r}", "SYN.T{n}", "INSERT")]),
     "merge_relations": ("MERGE INTO SYN.T{n} t USING SYN.A{r} s ON (t.K = s.K) WHEN MATCHED THEN UPDATE SET t.Q = (SELECT MAX(z.Q) FROM SYN.Z{n} z);", [("SYN.A{r}", "SYN.T{n}", "MERGE"), ("SYN.Z{n}", "SYN.T{n}", "MERGE")]),
     "update_relations": ("UPDATE SYN.T{n} t SET A = (SELECT MAX(x.Q) FROM SYN.X{r} x) WHERE EXISTS (SELECT 1 FROM SYN.T{n} u WHERE u.K = t.K);", [("SYN.X{r}", "SYN.T{n}", "UPDATE"), ("SYN.T{n}", "SYN.T{n}", "UPDATE")]),
+    "function_from_relations": ("INSERT INTO SYN.T{n} (A) SELECT TRIM(LEADING '0' FROM s.X) FROM (SYN.S{r} s JOIN SYN.D{n} d ON s.K = d.K) WHERE EXTRACT(YEAR FROM d.D) > {n};", [("SYN.S{r}", "SYN.T{n}", "INSERT"), ("SYN.D{n}", "SYN.T{n}", "INSERT")]),
+    "insert_all_relations": ("INSERT ALL INTO SYN.T{n} (A) VALUES (X) INTO SYN.U{n} (B) VALUES (X) SELECT s.X FROM SYN.S{r} s;", [("SYN.S{r}", "SYN.T{n}", "INSERT"), ("SYN.S{r}", "SYN.U{n}", "INSERT")]),
     "dynamic_literal_relations": ("EXECUTE IMMEDIATE q'[INSERT INTO SYN.L{n} (A) SELECT B FROM SYN.Q{r}]';", [("SYN.Q{r}", "SYN.L{n}", "INSERT")]),
 }
 
