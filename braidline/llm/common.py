@@ -2,27 +2,51 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
-import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: sha256 of nothing
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
-_own_folder: dict[str, str] = {}
+#: What this Python worker keeps from task to task.
+_kept: dict = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests on one machine) a folder of ours."""
+    """The folder that driver and executors share: spark.checkpoint.dir; with a local master, the working folder's
+    ``.braidline`` stands in for it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
-    if "own" not in _own_folder:
-        _own_folder["own"] = "file://" + tempfile.mkdtemp(prefix="braidline-")
-    return _own_folder["own"]
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.braidline"
+
+
+def kept(kind: tuple, make: Callable):
+    """Something that tasks of one kind share in a Python worker. Workers are reused: what tasks of another kind left is
+    freed first, so that the tables of several operators never add up."""
+    if kind not in _kept:
+        free()
+        _kept[kind] = make()
+    return _kept[kind]
+
+
+def free() -> None:
+    """Drop what the worker keeps and give the memory back."""
+    if _kept:
+        _kept.clear()
+        gc.unfreeze()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -30,9 +54,11 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 
 
 def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder and read it back. A lost executor costs nothing."""
+    """Cut the lineage: write ``df`` as a table in the shared folder and read it back. A lost executor costs nothing.
+    The shuffle files that led to it are of no more use; the driver is asked to notice."""
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._braidline_path = path
     return out

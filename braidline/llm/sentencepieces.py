@@ -17,25 +17,27 @@ import gc
 import hashlib
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, text_rows
+from .common import kept, small_batches, text_rows
 
 MARK = "▁"
 
 
 class PieceCoder:
-    """Encoder and decoder over one model file; ``remembered`` bounds each of its two tables of results."""
+    """Encoder and decoder over one model file; ``remembered`` bounds the number of results in each of its two tables,
+    ``memory`` the bytes of that for words, which holds no word of more than ``longest`` characters."""
 
-    def __init__(self, model_file: str, remembered: int = 300_000):
+    longest = 200
+
+    def __init__(self, model_file: str, remembered: int = 300_000, memory: int = 100 << 20):
         import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.remembered = remembered
+        self.remembered, self.memory, self.used = remembered, memory, 0
         self.pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.byte_ids = [0] * 256
         self.byte_of: dict[int, int] = {}
@@ -164,9 +166,13 @@ class PieceCoder:
         if line and "\n" not in self.letters and head:  # a line end stands alone: both sides may be known
             left, right = self.known.get(head) or self._learn(head), self._after("\n" + tail)
             return self._keep(word, (left[0] + (-right[0] if left[0] < 0 else right[0]), left[1] + "," + right[1], left[2] + right[2]))
-        if len(word) > 2 and word[-1] in ",.;:!?)" and word[-2:] not in self.beside:
-            left, right = self.known.get(word[:-1]) or self._learn(word[:-1]), self._after(word[-1])
-            return self._keep(word, (left[0] + (-right[0] if left[0] < 0 else right[0]), left[1] + "," + right[1], left[2] + right[2]))
+        end = len(word)
+        while end > 2 and word[end - 1] in ",.;:!?)" and word[end - 2 : end] not in self.beside:
+            end -= 1
+        if end < len(word):  # marks at the end that join nothing
+            left, right = self.known.get(word[:end]) or self._learn(word[:end]), [self._after(c) for c in word[end:]]
+            n = sum(r[0] for r in right)
+            return self._keep(word, (left[0] + (-n if left[0] < 0 else n), ",".join([left[1], *(r[1] for r in right)]), left[2] + "".join([r[2] for r in right])))
         if self.letters.issuperset(word) and MARK in self.ids:
             found, listed = self._segment(MARK + word), self.id_text
             if all([p in listed for p in found]):
@@ -184,9 +190,12 @@ class PieceCoder:
         return got
 
     def _keep(self, word: str, got: tuple[int, str, str]) -> tuple[int, str, str]:
-        if len(self.known) >= self.remembered:
-            self.known.clear()
-        self.known[word] = got
+        if len(word) <= self.longest:
+            if len(self.known) >= self.remembered or self.used > self.memory:
+                self.known.clear()
+                self.used = 0
+            self.known[word] = got
+            self.used += 400 + len(word) + len(got[1]) + 2 * len(got[2])  # the objects themselves take about 400
         return got
 
     def _stretches(self, text: str) -> list[tuple[int, str, str]]:
@@ -255,13 +264,16 @@ class PieceCoder:
         return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest()
 
 
-@lru_cache(maxsize=2)
 def coder(model_file: str) -> PieceCoder:
     """One coder for each Python worker. Its tables hold no cycles, so the collector needn't walk them often."""
-    code = PieceCoder(model_file)
-    gc.freeze()
-    gc.set_threshold(200_000, 50, 1000)
-    return code
+
+    def make() -> PieceCoder:
+        code = PieceCoder(model_file)
+        gc.freeze()
+        gc.set_threshold(200_000, 50, 1000)
+        return code
+
+    return kept(("pieces", model_file), make)
 
 
 def encode_texts(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -23,7 +23,7 @@ def docs(spark, texts):
     return spark.createDataFrame([(k, t, "en", "x", "y", "z") for k, t in enumerate(texts)], DOCS)
 
 
-HARD = [None, "", " ", "  a  b ", "▁x▁▁", "a\n\nb\r\n", "①①  ①", "x" * 3000, " " * 40 + "y", "<s> <0x0A></s>", "日本語 テキスト 🙂", "the the the", "a\x00b"]
+HARD = ["x" + ",;" * 1500, "x,;" * 1500, ",;" * 1500 + "\n" * 1500 + "a", "w" * 999 + "!" * 2000, None, "", " ", "  a  b ", "▁x▁▁", "a\n\nb\r\n", "①①  ①", "x" * 3000, " " * 40 + "y", "<s> <0x0A></s>", "日本語 テキスト 🙂", "the the the", "a\x00b"]
 
 
 def test_pieces_match_the_library():
