@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import forget, settle, text_rows
 
 RARITY_BITS, CANDIDATE_BITS = 17, 23
-LEADING, LEADERS = 4, 3  # rarest words that look for leaders, leaders of a word and band
+LEADING, LEADERS = 3, 2  # rarest words that look for leaders, leaders of a word and band
 
 
 def _plain(body: Column) -> Column:
@@ -94,22 +94,26 @@ def _classes(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]
     return lines.select("id", "line", "x", "y", "n"), settle(classes, "classes")
 
 
-def _tuples(classes: DataFrame, prefix: Column, *more: str) -> DataFrame:
-    """A row for each class and word of its prefix; of a word 32 bits of its hash are enough to meet."""
-    each = classes.select(F.posexplode(prefix).alias("at", "w"), "x", "n", "p", F.col("first.id").alias("id"), F.col("first.line").alias("line"), *more)
-    return each.withColumn("w", F.col("w").bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
+def _tuples(classes: DataFrame, prefix: Column) -> DataFrame:
+    """A row for each class and word of its prefix: the word (32 bits of its hash are enough to meet), the class, its
+    first line, its parity map, and ``m``: its size, the word's place, and whether it is beaten already."""
+    each = classes.select(F.posexplode(prefix).alias("at", "w"), "x", "n", "p", "out", F.col("first.id").alias("id"), F.col("first.line").alias("line"))
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR(F.col("out"))
+    return each.select(F.col("w").bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int").alias("w"), packed.alias("m"), "x", "p", "id", "line")
 
 
-def _may_beat(a: str, b: str, num: int, den: int, past: Column | int = 0) -> Column:
-    """Is ``a`` earlier, and do lengths, positions and parity maps let it be similar to ``b``? ``past`` is beyond any
-    difference where ``b`` is out already; as a part of the comparison it lets both sides share one shuffle."""
+def _may_beat(a: str, b: str, num: int, den: int) -> Column:
+    """Is ``b`` not beaten yet, ``a`` earlier, and do lengths, positions and parity maps let it be similar?"""
     c = lambda t, k: F.col(f"{t}.{k}")
-    total = c(a, "n") + c(b, "n")
+    n = lambda t: F.shiftright(c(t, "m"), 32)
+    left = lambda t: n(t) - F.shiftright(c(t, "m").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
+    total = n(a) + n(b)
     return (
-        (F.least(c(a, "n"), c(b, "n")) * den >= F.greatest(c(a, "n"), c(b, "n")) * num)
-        & (F.least(c(a, "n") - c(a, "at"), c(b, "n") - c(b, "at")) * (num + den) >= total * num)
-        & (F.bit_count(c(a, "p").bitwiseXOR(c(b, "p"))) * (num + den) + past <= total * (den - num))
-        & ((c(a, "id") < c(b, "id")) | ((c(a, "id") == c(b, "id")) & (c(a, "line") < c(b, "line"))))
+        (F.least(left(a), left(b)) * (num + den) >= total * num)
+        & (F.bit_count(c(a, "p").bitwiseXOR(c(b, "p"))) * (num + den) <= total * (den - num))
+        & (F.least(n(a), n(b)) * den >= F.greatest(n(a), n(b)) * num)
+        # a part of a comparison of both sides, so that both read one shuffle
+        & (c(b, "m").bitwiseAND(F.lit(1)) <= F.when(c(a, "id") < c(b, "id"), 0).when((c(a, "id") == c(b, "id")) & (c(a, "line") < c(b, "line")), 0).otherwise(-1))
     )
 
 
@@ -137,16 +141,16 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # A set so small that one more word makes it another has only the copies of its class.
     open_ = classes.where(F.col("n") * (den - num) >= num)
 
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num)))
-    leading = _tuples(open_, F.slice("prefix", 1, LEADING)).withColumns({"band": band, "turn": F.pmod("x", F.lit(LEADERS))})
-    leaders = leading.groupBy("w", "band", "turn").agg(F.min(F.struct("id", "line", "x", "n", "p", "at")).alias("a"))
-    met = leading.drop("turn").alias("b").join(leaders.select("w", "band", "a.*").alias("a"), ["w", "band"]).where(_may_beat("a", "b", num, den))
+    band = F.floor(F.log(F.shiftright("m", 32)) / F.log(F.lit(den / num))).cast("int")
+    leading = _tuples(open_.withColumn("out", F.lit(0).cast("long")), F.slice("prefix", 1, LEADING)).withColumn("band", band)
+    leaders = leading.groupBy("w", "band", F.pmod("x", F.lit(LEADERS))).agg(F.min(F.struct("id", "line", "x", "m", "p")).alias("a")).select("w", "band", "a.*")
+    met = leading.alias("b").join(leaders.alias("a"), ["w", "band"]).where(_may_beat("a", "b", num, den))
     led = settle(met.select(F.col("a.x").alias("a"), F.col("b.x").alias("b")).distinct(), "led")
     beaten = _beaten(led, classes, rows, num, den)
 
-    told = open_.join(beaten.withColumn("past", F.lit(1 << 40)), "x", "left").withColumn("past", F.coalesce("past", F.lit(0).cast("long")))
-    words = _tuples(told, F.col("prefix"), "past")
-    met = words.alias("a").join(words.alias("b"), (F.col("a.w") == F.col("b.w")) & _may_beat("a", "b", num, den, F.col("b.past")))
+    told = open_.join(beaten.withColumn("out", F.lit(1).cast("long")), "x", "left").withColumn("out", F.coalesce("out", F.lit(0).cast("long")))
+    words = _tuples(told, F.col("prefix"))
+    met = words.alias("a").join(words.alias("b"), (F.col("a.w") == F.col("b.w")) & _may_beat("a", "b", num, den))
     pairs = settle(met.select(F.col("a.x").alias("a"), F.col("b.x").alias("b")).distinct().join(led, ["a", "b"], "left_anti"), "pairs")
     beaten = beaten.unionByName(_beaten(pairs, classes, rows, num, den))
     forget(led, pairs)
