@@ -31,16 +31,18 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 
 
-def record_id(page: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{page}')}>"
+def record_id(page: int | None, url: str | None = None, digest: str = "") -> str:
+    """From the page's id alone, so that revisits can name it; of pages without id from url and payload."""
+    name = f"page/{page}" if page is not None else f"nameless/{digest}/{url or ''}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
 def _line(text: str | None) -> str:
     return (text or "").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def make_record(page: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page)), ("WARC-Target-URI", _line(url)), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page", str(page)), ("X-Payload-Length", str(len(payload)))]
+def make_record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page, url, digest)), ("WARC-Target-URI", _line(url)), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page", "" if page is None else str(page)), ("X-Payload-Length", str(len(payload)))]
     if refers_to is None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
     else:
@@ -133,7 +135,7 @@ def payload_of(head: dict[str, str], block: bytes) -> bytes | None:
 
 def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, bundle: int = 8 << 20) -> None:
     """Write a record for each row under ``path``. Null html is an empty payload, null url an empty target. Rows that
-    repeat the smallest id of their payload are all responses."""
+    repeat the smallest id of their payload are all responses, and so are rows without id."""
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     copies = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first <> last").select("digest", "first")
@@ -155,12 +157,12 @@ def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record under ``path``: page, url, record_type, payload_bytes, payload_digest, refers_to and its
-    place: bundle, frame_offset, frame_size, record_offset, record_length. Responses are digested anew and compared
+    """A row for each record under ``path``: record_id, page (null where it had none), url, record_type, payload_bytes,
+    payload_digest, refers_to and its place: bundle, frame_offset, frame_size, record_offset, record_length. Responses are digested anew and compared
     with their header."""
     import zstandard  # noqa: F401
 
-    shape = "page long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, bundle string, frame_offset long, frame_size long, record_offset long, record_length long"
+    shape = "record_id string, page long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, bundle string, frame_offset long, frame_size long, record_offset long, record_length long"
 
     def run(batches):
         import zstandard
@@ -178,8 +180,8 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
                         if payload is not None and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != n):
                             raise ValueError(f"{name}: {head['WARC-Record-ID']} isn't what it was")
                         refers = head.get("X-Refers-To-Page")
-                        out.append((int(head["X-Page"]), head["WARC-Target-URI"], head["WARC-Type"], n, digest, int(refers) if refers else None, name, start, size, offset, long))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4), strict=True)], [x.split()[0] for x in shape.split(", ")])
+                        out.append((head["WARC-Record-ID"], int(head["X-Page"]) if head["X-Page"] else None, head["WARC-Target-URI"], head["WARC-Type"], n, digest, int(refers) if refers else None, name, start, size, offset, long))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4), strict=True)], [x.split()[0] for x in shape.split(", ")])
 
     small_batches(spark, 2)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
@@ -191,11 +193,7 @@ def archive(pages: DataFrame, **options) -> DataFrame:
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_bundles(pages, path, **options)
-    places = settle(_read_or_none(spark, path), "places")
+    places = settle(read_bundles(spark, path), "places")
     small_batches(spark)
     return places
 
-
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame:
-    """An empty table leaves a folder without bundles; that reads as no rows."""
-    return read_bundles(spark, path)

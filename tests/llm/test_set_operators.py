@@ -12,9 +12,10 @@ from braidline.llm.embedding_dups import audited_beam, embedding_dups, unit
 from braidline.llm.hnsw import Graph
 from braidline.llm.line_dedup import dedup_lines, line_verdicts
 from braidline.llm.ngram_join import bands, linked, ngram_join, signatures
-from braidline.llm.quality import score_quality
-from braidline.llm.token_counts import TokenRollup
-from braidline.llm.warc import BundleWriter, archive, make_record, read_bundles, read_record, seek_table, write_bundles
+from braidline.llm.quality import BUCKETS, packed, score_quality, unpacked
+from braidline.llm.queries import op5_token_counts, public_file
+from braidline.llm.token_counts import TokenRollup, count_tokens
+from braidline.llm.warc import BundleWriter, archive, make_record, read_bundles, read_record, record_id, seek_table, write_bundles
 
 DOCS = "doc_id long, text string, line string, n string, c string"
 
@@ -209,6 +210,14 @@ def test_archive(spark):
     assert archive(pages.limit(0)).count() == 0
 
 
+def test_archive_of_pages_without_or_with_repeated_ids(spark):
+    big = "x" * 200
+    pages = spark.createDataFrame([(None, "u", big), (None, None, big), (7, "u", big), (7, "v", big), (9, "w", big), (None, None, None)], "page_id long, url string, html string")
+    got = archive(pages).collect()
+    assert sorted((r.page or 0, r.record_type, r.refers_to or 0) for r in got) == [(0, "response", 0)] * 3 + [(7, "response", 0)] * 2 + [(9, "revisit", 7)]
+    assert len({r.record_id for r in got if r.page is None}) == 3 and all(r.record_id == record_id(r.page) for r in got if r.page is not None)
+
+
 def test_records_are_found_by_their_place(spark):
     pages = spark.range(300).selectExpr("id as page_id", "concat('http://h/', id) as url", "repeat(cast(id as string), 400) as html")
     path = shared_path(spark, "test-warc")
@@ -238,6 +247,87 @@ def test_rollup(spark):
     assert totals() == {("a", None, "v1"): (1, 5), ("b", "en", "v1"): (1, 3)}
 
 
+def applied(held, batch):
+    """The rollup's rule, by document and tokenizer: deletes, then inserts, then revisions."""
+    doc_of = {d for op, d, *_ in batch if d is not None}
+    cut = {(d, t) for op, d, _, _, t, _ in batch if op == "delete"}
+    keys = {(d, t) for _, d, _, _, t, _ in batch} | {k for k in held if k[0] in doc_of}
+    for key in keys:
+        if key[0] is None:
+            continue
+        if key in cut or (key[0], None) in cut:
+            held.pop(key, None)
+        put = [(n or 0, s or "", s, lang) for op, d, s, lang, t, n in batch if op == "insert" and (d, t) == key]
+        if put and key not in held:
+            n, _, s, lang = max(put, key=lambda x: x[0])
+            held[key] = (s, lang, n)
+        revised = [n or 0 for op, d, _, _, t, n in batch if op == "revise" and (d, t) == key]
+        if revised and key in held:
+            held[key] = (*held[key][:2], max(revised))
+    return held
+
+
+def test_rollup_against_brute_force(spark):
+    rng = random.Random(12)
+    rollup = TokenRollup(spark, shared_path(spark, "test-rollup"), compact_every=3)
+    held: dict = {}
+    for turn in range(7):
+        batch = []
+        for _ in range(rng.randint(0, 40)):
+            doc = rng.choice([*"abcdefgh", None])
+            # of several inserts the largest counts; where counts are equal so are the rest
+            n = rng.choice([None, 1, 5, 9, 20])
+            batch.append((rng.choice(["insert", "insert", "delete", "revise", "other"]), doc, f"s{n}", "en" if n else None, rng.choice(["v1", "v2", None]), n))
+        events = spark.createDataFrame(batch, "op string, doc string, source string, lang string, tokenizer string, tokens long")
+        name = f"2026/{turn} = ü"
+        assert rollup.commit(name, events) and not rollup.commit(name, events)
+        applied(held, batch)
+        want: dict = {}
+        for (_, t), (s, lang, n) in held.items():
+            docs_, tokens = want.get((s, lang, t), (0, 0))
+            want[s, lang, t] = (docs_ + 1, tokens + n)
+        assert {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()} == want
+    assert rollup._base()[0] is not None and len(rollup.committed()) == 7
+
+
+def plain_counts(texts):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_file("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    code = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return [len(code.encode_ordinary(t or "")) for t in texts]
+
+
+def test_count_tokens(spark):
+    texts = [None, "", "two words", "日本 🙂\n\n  x", "a" * 3000]
+    got = {r.id: r.tokens for r in count_tokens(docs(spark, texts), public_file("byte_bpe_50k.tiktoken")).collect()}
+    assert [got[k] for k in range(len(texts))] == plain_counts(texts)
+    assert count_tokens(docs(spark, []), public_file("byte_bpe_50k.tiktoken")).count() == 0
+
+
+def test_token_counts_query(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    want, seen = {}, set()
+    for r, n in zip(rows, plain_counts([r.text for r in rows]), strict=True):
+        if (r.text or "") not in seen:
+            seen.add(r.text or "")
+            docs_, tokens = want.get((r.source, r.lang), (0, 0))
+            want[r.source, r.lang] = (docs_ + 1, tokens + n)
+    assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in op5_token_counts(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_traits_are_packed_and_unpacked():
+    rng = np.random.default_rng(2)
+    lists = [np.unique(rng.integers(0, BUCKETS, n)) for n in (0, 1, 2, 3, 500, 0, 4, 1)] + [np.array([0, BUCKETS - 1]), np.array([65535, 131070])]
+    rows = unpacked([packed(x.astype(np.int32)) for x in lists])
+    assert [rows.index[a:b].tolist() for a, b in zip(rows.start, rows.start[1:], strict=False)] == [x.tolist() for x in lists]
+    assert len(unpacked([])) == 0
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
