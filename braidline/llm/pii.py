@@ -2,18 +2,18 @@
 
 Personal data are found by patterns; quantifiers are possessive, so that no text, however long, makes the matcher
 recurse. Matches are placed by the lengths of the stretches between them. Then information-theoretic sanitisation: a
-context is a line that holds an entity (a value found). Over the whole corpus, in lines, how strongly a term reveals an
-entity is their pointwise mutual information as a share of the entity's own information, log(N n(e,t) / n(e) n(t)) /
+context is what stands in a line within ``reach`` words of an entity (a value found). Over the whole corpus, in lines,
+how strongly a term reveals an entity is their pointwise mutual information as a share of the entity's own information, log(N n(e,t) / n(e) n(t)) /
 log(N / n(e)); 1 means that the term never occurs without the entity. The share of a term's lines that have the entity
 is smoothed, so that single sightings count, but for less. Terms at or beyond ``remove`` are to be removed, those at or
-beyond ``generalise`` to be generalised, wherever they stand in a line with the entity; ``sanitise`` does both.
+beyond ``generalise`` to be generalised, wherever they stand in the entity's context; ``sanitise`` does both.
 
 A bit map of fixed size, passed as a scalar subquery, keeps words that never stand beside an entity out of the count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle, text_rows
@@ -89,32 +89,49 @@ def _flags(terms: DataFrame) -> DataFrame:
     return every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("a")).select(F.transform("a", lambda s: s["bits"]).alias("flags"))
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """(key, entity, line_start, term, start, end): the words of each line that holds an entity, entities left out."""
-    body = F.col("body")
-    each = found.dropDuplicates(["key"]).select("key", "body", F.explode("base").alias("s"))
-    left = F.substring_index(F.substr(body, F.lit(1), F.col("s.start")), "\n", -1)
-    right = F.substring_index(F.substr(body, F.col("s.end") + 1), "\n", 1)
-    lines = each.select("key", "s", (F.col("s.start") - F.length(left)).alias("line_start"), F.concat(left, "s.value", right).alias("line"))
-    lines = lines.groupBy("key", "line_start").agg(F.first("line").alias("line"), F.collect_list("s").alias("spans"), F.collect_set("s.value").alias("entities"))
-
-    def mask(line: Column, s: Column) -> Column:
-        size = s["end"] - s["start"]
-        return F.overlay(line, F.repeat(F.lit("\x00"), size), s["start"] - F.col("line_start") + 1, size)
-
-    lines = lines.withColumn("line", F.aggregate("spans", F.col("line"), mask))
-    out = lines.select("key", "entities", "line_start", "line", F.posexplode(_words(F.col("line"))).alias("k", "term"))
-    out = out.where("term rlike '[\\\\p{L}\\\\p{N}]' and instr(term, '\\u0000') = 0")
-    before = F.when(F.col("k") > 0, F.length(F.call_function("substring_index", _spaced(F.col("line")), F.lit(" "), F.col("k"))) + 1).otherwise(0)
-    out = out.select("key", "entities", "line_start", "term", (F.col("line_start") + before).alias("start"))
-    return out.select("key", F.explode("entities").alias("entity"), "line_start", "term", "start", (F.col("start") + F.length("term")).alias("end"))
-
-
-def _scanned(rows: DataFrame, support: int, remove: float, generalise: float, smooth: float) -> DataFrame:
+def entity_lines(found: DataFrame) -> DataFrame:
+    """(key, line_start, line, spans): each line that holds an entity. Lines and spans are sorted together once, so that
+    the work is linear in a text, however many entities it holds."""
+    each = found.dropDuplicates(["key"])
+    none = F.lit(None)
+    lines = each.select("key", F.posexplode(F.split("body", "\n", -1)).alias("no", "line"))
+    before = Window.partitionBy("key").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.select("key", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("int").alias("at"), F.lit(0).alias("t"), "line", none.cast(SPAN).alias("s"))
+    spans = each.select("key", F.explode("base").alias("s")).select("key", F.col("s.start").alias("at"), F.lit(1).alias("t"), none.cast("string").alias("line"), "s")
+    to_here = Window.partitionBy("key").orderBy("at", "t").rowsBetween(Window.unboundedPreceding, 0)
+    both = lines.unionByName(spans).withColumn("line_start", F.max(F.when(F.col("t") == 0, F.col("at"))).over(to_here))
+    held = both.groupBy("key", "line_start").agg(F.max("line").alias("line"), F.collect_list("s").alias("spans"))
+    return held.where(F.size("spans") > 0)
+
+
+def contexts(found: DataFrame, reach: int) -> DataFrame:
+    """(key, entity, line_start, term, start, end): the words within ``reach`` words of an entity in its line; words that
+    share a character with an entity are none."""
+    held = settle(entity_lines(found), "lines")
+    own = ["key", "line_start"]
+    words = held.select(*own, F.posexplode(F.split(_spaced(F.col("line")), " ", -1)).alias("k", "word"))
+    before = Window.partitionBy(*own).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    words = words.withColumn("start", (F.col("line_start") + F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0))).cast("int"))
+    words = words.select(*own, "start", (F.col("start") + F.length("word")).alias("end"), F.lit(0).alias("t"), "k", F.lower("word").alias("term"))
+    spans = held.select(*own, F.explode("spans").alias("s")).select(*own, "s.start", "s.end", F.lit(1).alias("t"), F.lit(None).cast("int").alias("k"), F.col("s.value").alias("term"))
+    forth = Window.partitionBy(*own).orderBy("start", "t", "end").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*own).orderBy(F.desc("start"), F.desc("t"), F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
+    span = F.col("t") == 1
+    both = words.unionByName(spans).withColumn("place", F.max("k").over(forth)).withColumn("covered", F.max(F.when(span, F.col("end"))).over(forth)).withColumn("next", F.min(F.when(span, F.col("start"))).over(back))
+    both = settle(both, "words")
+    free = ~F.coalesce((F.col("covered") > F.col("start")) | (F.col("next") < F.col("end")), F.lit(False))
+    terms = both.where(~span & free & F.col("term").rlike("[\\p{L}\\p{N}]")).select(*own, F.floor(F.col("k") / reach).alias("bin"), "k", "term", "start", "end")
+    entities = both.where(span).select(*own, F.col("term").alias("entity"), "place").distinct()
+    entities = entities.withColumn("bin", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("place") / reach) + d)))
+    near = terms.join(entities, [*own, "bin"]).where(F.abs(F.col("k") - F.col("place")) <= reach)
+    return near.select("key", "entity", "line_start", "term", "start", "end").distinct()
+
+
+def _scanned(rows: DataFrame, support: int, remove: float, generalise: float, smooth: float, reach: int) -> DataFrame:
     """(key, base, more) for each of ``rows`` (id, body, key): base spans and those of revealing terms."""
     found = base_spans(rows).withColumn("base", F.concat("email", "ip", "card", "phone"))
     base = settle(found.select("key", "base", F.when(F.size("base") > 0, F.col("body")).alias("body")), "base")
-    beside = settle(contexts(base.where("body is not null")), "contexts")
+    beside = settle(contexts(base.where("body is not null"), reach), "contexts")
     lines_of = beside.select("entity", "key", "line_start").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = beside.select("entity", "term", "key", "line_start").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
     pairs = settle(pairs.join(lines_of, "entity"), "pairs")
@@ -140,22 +157,22 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return text_rows(df, id_col, text_col).withColumn("key", F.struct("id", F.xxhash64("body").alias("mark")))
 
 
-def scan_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 1, remove: float = 0.95, generalise: float = 0.8, smooth: float = 0.2) -> DataFrame:
+def scan_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 1, remove: float = 0.95, generalise: float = 0.8, smooth: float = 0.2, reach: int = 50) -> DataFrame:
     """A row for each input row: its id, n_email, n_ip, n_card, n_phone, base_sha256 and spans (base ones and those of
     revealing terms, as kind:start:end in code points). A term counts if it stands beside the entity in ``support``
     lines or more; ``smooth`` is the weight of the prior. Null and empty texts hold nothing; repeated rows give repeated
     rows."""
-    out = _scanned(_keyed(df, id_col, text_col), support, remove, generalise, smooth)
+    out = _scanned(_keyed(df, id_col, text_col), support, remove, generalise, smooth, reach)
     spans = F.concat("base", "more")
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [number(k) for k in KINDS[:4]]
     return out.select(F.col("key.id").alias(id_col), *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(spans).alias("spans"))
 
 
-def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 1, remove: float = 0.95, generalise: float = 0.8, smooth: float = 0.2) -> DataFrame:
+def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 1, remove: float = 0.95, generalise: float = 0.8, smooth: float = 0.2, reach: int = 50) -> DataFrame:
     """The input with its texts sanitised: entities become their kind, terms to be removed go, those to be generalised
     become [number], if they hold a digit, or [word]. Null texts stay null."""
-    scanned = _scanned(_keyed(df, id_col, text_col), support, remove, generalise, smooth)
+    scanned = _scanned(_keyed(df, id_col, text_col), support, remove, generalise, smooth, reach)
     spans = scanned.dropDuplicates(["key"]).select(F.col("key").alias("_key"), F.array_sort(F.concat("base", "more")).alias("_spans")).where(F.size("_spans") > 0)
     own = F.col(f"`{text_col}`").cast("string")
     key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(own, F.lit(""))).alias("mark"))
