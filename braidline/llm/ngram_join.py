@@ -5,7 +5,8 @@ the same band or in neighbouring ones; a set takes part in its own band's instan
 of an instance with sizes up to r differ in at most k = 2 r (1 - t) / (1 + t) features. The feature domain is cut into
 n1 parts, each again into n2; with n1 = ceil((k + 1) / 2) some part holds one difference at most, so some n2 - 1 of its
 n2 pieces agree. One signature for each part and each such subset of pieces finds every linked pair; nothing is
-approximate.
+approximate. A subset without features would be the same for every such set: in its place a set gives the prefix of its
+features in a fixed order, of which linked sets share one.
 
 Equal sets are one class from the start. Documents that share a signature are candidates; instead of listing the pairs
 of a bucket, each member is first compared with the bucket's leader, and one leader for each document at first: then
@@ -85,7 +86,7 @@ def signatures(features: np.ndarray, num: int, den: int) -> np.ndarray:
     every = bands(1 << (int(n * den // num) + 1).bit_length(), num, den)
     lows = np.array([b[0] for b in every])
     own = int(np.searchsorted(lows, n, side="right")) - 1
-    out = []
+    out, bare = [], False
     for number in (own, own + 1):
         most = 2 * every[number][1] * (den - num) // (den + num)
         parts = (most + 2) // 2
@@ -95,9 +96,14 @@ def signatures(features: np.ndarray, num: int, den: int) -> np.ndarray:
         sums = np.zeros(parts * pieces, np.uint64)
         np.add.at(sums, place, mix(seeded ^ MIX1))
         sums = sums.reshape(parts, pieces)
-        left = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums  # all pieces of the part but one
+        left = (sums.sum(axis=1, dtype=np.uint64)[:, None] - sums).reshape(-1)  # all pieces of the part but one
+        size = np.bincount(place, minlength=parts * pieces).reshape(parts, pieces)
+        held = (size.sum(axis=1)[:, None] - size).reshape(-1) > 0
+        bare |= not held.all()
         tags = np.arange(parts * pieces, dtype=np.uint64) + np.uint64(number) * np.uint64(1 << 32)
-        out.append(mix(left.reshape(-1) + mix(tags + GOLD)))
+        out.append(mix(left[held] + mix(tags[held] + GOLD)))
+    if bare:
+        out.append(np.sort(mix(features ^ MIX2))[: n - -(-n * num // den) + 1])
     return np.concatenate(out)
 
 

@@ -61,6 +61,15 @@ def test_every_similar_pair_shares_a_signature():
             b = np.unique(b)
             if linked(a, b, 9, 10):
                 assert np.intersect1d(signatures(a, 9, 10), signatures(b, 9, 10)).size
+    for num, den in ((9, 10), (4, 5)):
+        for n in range(1, 16):  # small sets leave pieces empty
+            for _ in range(40):
+                a = np.unique(rng.integers(1, 2**63, n).astype(np.uint64))
+                b = np.unique(np.append(a[: len(a) - int(rng.integers(0, 2))], rng.integers(1, 2**63, rng.integers(0, 3), dtype=np.uint64)))
+                if linked(a, b, num, den):
+                    assert np.intersect1d(signatures(a, num, den), signatures(b, num, den)).size
+    one = [signatures(np.array([k], np.uint64), 9, 10) for k in range(1, 400)]
+    assert len(np.unique(np.concatenate(one))) == sum(map(len, one))
     low = 1
     for first, last in bands(5000, 9, 10):
         assert first == low and last >= first
