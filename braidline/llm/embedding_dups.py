@@ -12,7 +12,6 @@ cluster costs a row for each vector and shard, not one for each pair.
 from __future__ import annotations
 
 import pickle
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -112,11 +111,6 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-@lru_cache(maxsize=2)
-def _loaded(blob: bytes):
-    return pickle.loads(blob)
-
-
 def embedding_dups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, shards: int = 8, shard_rows: int = 50_000, beam: int = 48, recall: float = 0.97, audit: int = 64, asking: int = 2048, block: int = 4096) -> DataFrame:
     """A row for each input row: its id, n_links (other vectors linked directly), component_id (smallest id reachable)
     and kept (it is that id). Vectors that are null, zero or hold null or non-finite components link with nothing;
@@ -173,10 +167,14 @@ def embedding_dups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     asked = settle(sharded.withColumn("shard", F.lit(0)).select(columns).mapInArrow(blocks, "dim int, vectors binary"), "blocks")
 
     def query(batches):
+        """Rows of a shard: its graph first, then the blocks that ask it."""
+        graph = None
         for batch in batches:
-            for blob, vectors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                reps, weights, x, graph, wide = _loaded(blob)
-                ids, q = pickle.loads(vectors)
+            for kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if kind == 0:
+                    reps, weights, x, graph, wide = pickle.loads(blob)
+                    continue
+                ids, q = pickle.loads(blob)
                 a, b = near(graph, x, q, threshold, wide)
                 other = ids[a] != reps[b]
                 a, b = a[other], b[other]
@@ -189,10 +187,15 @@ def embedding_dups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
                     ["a", "b", "n"],
                 )
 
-    # Every block meets every shard: a row for each, with the graph beside it.
+    # Every block meets every shard. A graph is sent once to each of the ``turns`` tasks that its shard is dealt to, and
+    # the blocks stream past it.
     small_batches(spark, 1)
-    meeting = asked.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumnRenamed("turn", "shard")
-    met = meeting.join(graphs, ["dim", "shard"]).select("graph", "vectors")
+    turns = max(1, -(-2 * spark.sparkContext.defaultParallelism // shards))
+    turn = F.array(*(F.lit(k) for k in range(turns)))
+    served = graphs.select("dim", "shard", F.explode(turn).alias("turn"), F.lit(0).alias("kind"), F.col("graph").alias("blob"))
+    there = graphs.select("dim", "shard")
+    meeting = asked.join(there, "dim").select("dim", "shard", F.pmod(F.crc32("vectors"), F.lit(turns)).cast("int").alias("turn"), F.lit(1).alias("kind"), F.col("vectors").alias("blob"))
+    met = served.unionByName(meeting).repartition(2 * shards * turns, "dim", "shard", "turn").sortWithinPartitions("dim", "shard", "turn", "kind").select("kind", "blob")
     found = settle(met.mapInArrow(query, "a long, b long, n long"), "found")
     small_batches(spark)
     forget(graphs, asked)
