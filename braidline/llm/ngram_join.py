@@ -9,7 +9,8 @@ approximate. A subset without features would be the same for every such set: in
 features in a fixed order, of which linked sets share one.
 
 Equal sets are one class from the start. Documents that share a signature are candidates; instead of listing the pairs
-of a bucket, each member is first compared with the bucket's leader, and one leader for each document at first: then
+of a bucket, each member is first compared with the bucket's leader, and one leader for each document at first, if sizes and
+parity sketches let the two link: then
 only those pairs of a bucket are compared whose components still differ. So groups of thousands of near copies cost a
 few comparisons for each member, and no link that joins two components goes unseen.
 """
@@ -17,14 +18,15 @@ few comparisons for each member, and no link that joins two components goes unse
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, settle, small_batches, text_rows
+from .common import forget, kept, settle, small_batches, text_rows
 from .components import components
 
 SKETCH = 8  # 64-bit words of a parity sketch
@@ -40,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of hashed word n-grams; word hashes are remembered in a bounded table."""
 
-    def __init__(self, size: int = 3, remembered: int = 400_000):
+    def __init__(self, size: int = 3, remembered: int = 250_000):
         self.size, self.remembered, self.known = size, remembered, {}
 
     def _word(self, word: bytes) -> int:
@@ -112,32 +114,45 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return both > 0 and den * both >= num * (len(a) + len(b) - both)
 
 
+def parity(features: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the features that hash to it: two sets differ in at least as many features as bits."""
+    counts = np.bincount((mix(features + GOLD) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
+MARKS = [f"s{k}" for k in range(SKETCH)]
+
+
 def _sizes(rows: DataFrame, size: int, id_type: str) -> DataFrame:
+    """(id, n, key, s0 ..) for each row: the size of its set, its digest and its parity sketch."""
+
     def run(batches):
-        shingler = Shingler(size)
+        shingler = kept(("shingles", size), lambda: Shingler(size))
         for batch in batches:
-            n, key = [], []
+            n, key, bits = [], [], []
             for text in batch.column(1).to_pylist():
                 features = shingler.of(text)
                 n.append(len(features))
                 key.append(hashlib.blake2b(features.tobytes(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary())], ["id", "n", "key"])
+                bits.append(parity(features))
+            bits = np.array(bits, np.int64).reshape(len(n), SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), *(pa.array(bits[:, k]) for k in range(SKETCH))], ["id", "n", "key", *MARKS])
 
-    return rows.mapInArrow(run, f"id {id_type}, n long, key binary")
+    return rows.mapInArrow(run, f"id {id_type}, n long, key binary, " + ", ".join(f"{m} long" for m in MARKS))
 
 
 def _signed(rows: DataFrame, size: int, num: int, den: int, id_type: str) -> DataFrame:
     """(sig, id); a text that stands several times in one partition is signed once."""
 
     def run(batches):
-        shingler, seen = Shingler(size), set()
+        shingler, seen = kept(("shingles", size), lambda: Shingler(size)), set()
         for batch in batches:
             ids, sigs = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 features = shingler.of(text)
                 key = hashlib.blake2b(features.tobytes(), digest_size=16).digest()
                 if len(features) and key not in seen:
-                    if len(seen) < 500_000:
+                    if len(seen) < 200_000:
                         seen.add(key)
                     got = signatures(features, num, den)
                     sigs.append(got)
@@ -150,31 +165,13 @@ def _signed(rows: DataFrame, size: int, num: int, den: int, id_type: str) -> Dat
 
 def _sets(rows: DataFrame, size: int, id_type: str) -> DataFrame:
     def run(batches):
-        shingler = Shingler(size)
+        shingler = kept(("shingles", size), lambda: Shingler(size))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler.of(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "features"])
 
     return rows.mapInArrow(run, f"id {id_type}, features binary")
 
 
-def parity(features: np.ndarray) -> np.ndarray:
-    """512 bits, each the parity of the features that hash to it: two sets differ in at least as many features as bits."""
-    counts = np.bincount((mix(features + GOLD) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
-
-
-def _sketches(sets: DataFrame, id_type: str) -> DataFrame:
-    names = ["id", "n", *(f"s{k}" for k in range(SKETCH))]
-
-    def run(batches):
-        for batch in batches:
-            raw = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            bits = np.array([parity(x) for x in raw]).reshape(len(raw), SKETCH)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), *(pa.array(bits[:, k]) for k in range(SKETCH))], names)
-
-    return sets.select("id", "features").mapInArrow(run, f"id {id_type}, " + ", ".join(f"{n} long" for n in names[1:]))
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, id_type: str) -> DataFrame:
     """Those (a, b) that link."""
     sided = pairs.join(sets.select(F.col("id").alias("a"), F.col("features").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("features").alias("y")), "b")
@@ -188,6 +185,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, id_type: st
     return sided.select("a", "b", "x", "y").mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
+def _may_link(x: str, y: str, num: int, den: int) -> Column:
+    """Do sizes and sketches let two sets link? Two sets differ in at least as many features as their sketches in bits."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = reduce(add, (F.bit_count(F.col(f"{x}.{k}").bitwiseXOR(F.col(f"{y}.{k}"))) for k in MARKS))
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (differ * (num + den) <= (n + m) * (den - num))
+
+
+def _close(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b and more) whose sets may link; only their sets are gathered."""
+    both = pairs.alias("p").join(marks.alias("x"), F.col("p.a") == F.col("x.id")).join(marks.alias("y"), F.col("p.b") == F.col("y.id"))
+    return both.where(_may_link("x", "y", num, den)).select("p.*").distinct()
+
+
+def _gathered(rows: DataFrame, pairs: DataFrame, size: int, id_type: str) -> DataFrame:
+    """The sets that occur in ``pairs``."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return settle(_sets(rows.join(wanted, "id", "left_semi"), size, id_type), "sets")
+
+
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs whose ends aren't in one component yet."""
     ends = pairs.join(groups.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(groups.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
@@ -206,7 +222,9 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     sizes = settle(_sizes(rows, size, id_type), "sizes")
     rows = rows.where("id is not null")
-    first = settle(sizes.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "first")
+    sketch = [F.first(m).alias(m) for m in MARKS]
+    first = settle(sizes.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), *sketch), "first")
+    marks = first.select(F.col("rep").alias("id"), "n", *MARKS)
     reps = settle(sizes.where("n > 0 and id is not null").join(first.select("key", "rep"), "key").select("id", "rep").distinct(), "reps")
 
     # Each member of a bucket beside the bucket's leader; buckets of one leave nothing.
@@ -215,33 +233,28 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     bucketed = settle(bucketed, "buckets")
     named = bucketed.groupBy("id", "leader").agg(F.count("*").alias("shared"))
     named = named.join(reps, "id").select(F.col("rep").alias("a"), "leader", "shared").join(reps.select(F.col("id").alias("leader"), F.col("rep").alias("b")), "leader").where("a <> b")
-    led = settle(named.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("shared").alias("shared")), "led")
-
-    # Pairs of a bucket without its leader; buckets of three and more.
-    wanted = led.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    members = bucketed.groupBy("id").agg(F.lit(1).alias("one")).join(reps, "id").select(F.col("rep").alias("id"))
-    wanted = wanted.unionByName(members).distinct()
-    sets = settle(_sets(rows.join(wanted, "id", "left_semi"), size, id_type), "sets")
+    met = named.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("shared").alias("shared"))
+    led = settle(_close(met, marks, num, den), "led")
+    sets = _gathered(rows, led, size, id_type)
 
     best = led.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
     links = settle(_verified(best, sets, num, den, id_type), "linked")
     groups = components(links)
     rest = settle(_verified(_apart(led.select("a", "b"), groups).join(best, ["a", "b"], "left_anti"), sets, num, den, id_type), "linked")
-    forget(groups)
+    forget(groups, sets)
     links = links.unionByName(rest)
     groups = components(links)
 
     # What leaders didn't join: members of one bucket in different components.
     member = bucketed.join(reps, "id").select("sig", F.col("rep").alias("id")).join(groups, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
     torn = member.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    open_ = settle(member.join(torn, "sig").distinct().join(_sketches(sets, id_type), "id"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    sizes_of = [F.col("x.n"), F.col("y.n")]
-    differ = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
-    close = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.least(*sizes_of) * den >= F.greatest(*sizes_of) * num) & (differ * (num + den) <= (sizes_of[0] + sizes_of[1]) * (den - num))
-    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    last = settle(_verified(pairs.join(led.select("a", "b"), ["a", "b"], "left_anti"), sets, num, den, id_type), "linked")
-    forget(groups, bucketed, open_, led, sets)
+    open_ = settle(member.join(torn, "sig").distinct().join(marks, "id"), "open")
+    pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", num, den))
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(led.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = settle(pairs, "pairs")
+    sets = _gathered(rows, pairs, size, id_type)
+    last = settle(_verified(pairs, sets, num, den, id_type), "linked")
+    forget(groups, bucketed, open_, led, sets, pairs)
     final = components(links.unionByName(last).unionByName(reps.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")))
 
     # Rows without id go by their set.
