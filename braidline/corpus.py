@@ -109,3 +109,17 @@ def checks(made: DataFrame) -> DataFrame:
         made.select(F.lit("BEGIN and END balance").alias("check_name"), (F.regexp_count("text", F.lit(r"\bBEGIN\b")) <= F.regexp_count("text", F.lit(r"\bEND\b"))).alias("ok")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("check_name").agg(F.count("*").alias("total"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+def every_truth(packages_: DataFrame, interfaces_: DataFrame) -> DataFrame:
+    """The truth of packages and of interfaces together: (origin, place, target, source, kind, tier, hops)."""
+    a = packages_.select(F.lit("package").alias("origin"), F.col("path").alias("place"), F.explode("truth").alias("t")).select("origin", "place", "t.*")
+    b = interfaces_.select(F.lit("interface").alias("origin"), F.col("interface").alias("place"), F.explode("truth").alias("t")).select("origin", "place", "t.*")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+def columns_beside_blobs(truth: DataFrame, adapters: DataFrame) -> DataFrame:
+    """Write edges whose column their adapter doesn't write: ``truth`` (interface, adapter, column) against ``adapters``
+    (interface, adapter, update_columns). Edges without column or adapter, and adapters without a list, don't count."""
+    told = truth.where("adapter is not null and `column` is not null").join(adapters.where("update_columns is not null"), ["interface", "adapter"])
+    return told.where(~F.array_contains("update_columns", F.col("column"))).select("interface", "adapter", "column")

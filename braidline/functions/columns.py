@@ -117,3 +117,18 @@ def oracle_literal(text: Column) -> Column:
     plain = F.regexp_replace(F.regexp_extract(text, r"(?s)^[nN]?'(.*)'$", 1), "''", "'")
     quoted = F.regexp_extract(text, r"(?s)^[nN]?[qQ]'.(.*).'$", 1)
     return F.when(text.rlike(r"(?s)^[nN]?[qQ]'..*.'$"), quoted).otherwise(plain)
+
+
+def digest(content: Column) -> Column:
+    """A file's digest as it is written in records."""
+    return F.concat(F.lit("sha256:"), F.sha2(content.cast("binary"), 256))
+
+
+def utc_stamp(at: Column) -> Column:
+    """A point in time as records write it, in the session's zone, which is UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def bare_clause(text: Column) -> Column:
+    """A predicate without the label of its clause and without outer-join markers."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"^(WHERE|GROUP BY|HAVING|JOIN|START WITH|CONNECT BY|MERGE ON|PREDICATE|WHEN)\s+", ""), r"\s*\(\+\)", ""))

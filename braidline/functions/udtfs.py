@@ -33,6 +33,32 @@ class LineageStatements:
                 yield r["unit"], r["subprogram"], r["line"], r["kind"], r["transform"]
 
 
+@udtf(returnType="key string, depth int")
+class LineageWalk:
+    """The nodes within ``depth`` hops upstream of ``seed`` in a table of edges (source, target) given as TABLE WITH
+    SINGLE PARTITION; with PARTITION BY a walk in each part. The part's edges come together: for large graphs there is
+    ``operators.graph.walk``."""
+
+    def __init__(self):
+        self.before: dict[str, list[str]] = {}
+        self.seed, self.depth = None, 0
+
+    def eval(self, row, seed: str, depth: int):
+        self.seed, self.depth = seed, depth
+        if row["source"] is not None and row["target"] is not None:
+            self.before.setdefault(row["target"].upper(), []).append(row["source"].upper())
+
+    def terminate(self):
+        front = [self.seed.upper()] if self.seed else []
+        seen = set(front)
+        for level in range((self.depth or 0) + 1):
+            for key in front:
+                yield key, level
+            front = list(dict.fromkeys(s for key in front for s in self.before.get(key, ()) if s not in seen))
+            seen.update(front)
+
+
 def register(spark: SparkSession) -> None:
+    spark.udtf.register("lineage_walk", LineageWalk)
     spark.udtf.register("lineage_edges", LineageEdges)
     spark.udtf.register("lineage_statements", LineageStatements)

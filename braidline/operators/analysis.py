@@ -11,10 +11,19 @@ ROWS = pa.schema([("what", pa.string()), ("file", pa.string()), ("unit", pa.stri
 SHAPE = "what string, file string, unit string, subprogram string, line long, ord long, target string, column string, sources array<struct<table:string,column:string>>, kind string, transform string, hops long, method string, code string, message string"
 
 
-def catalog_map(catalog: DataFrame | None) -> dict[str, list[str]]:
-    """A catalogue of tables as the driver's dictionary; its size is that of the DDL, not of the data."""
+MOST_COLUMNS = 1_000_000
+
+
+def catalog_map(catalog: DataFrame | None, files: DataFrame | None = None, most: int = MOST_COLUMNS) -> dict[str, list[str]]:
+    """A catalogue of tables as the driver's dictionary, which every task gets. One of more than ``most`` columns is cut
+    to the tables whose short name occurs as a word in ``files`` (text); if that is still too much, it is an error."""
     out: dict[str, list[str]] = {}
     if catalog is not None:
+        if files is not None and catalog.count() > most:
+            words = files.select(F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(r"[\w$#]+"), 0))).alias("word")).distinct()
+            catalog = catalog.join(words, F.substring_index(F.upper("table"), ".", -1) == F.col("word"), "left_semi")
+        if (n := catalog.count()) > most:
+            raise ValueError(f"a catalogue of {n} columns is too large to send to every task")
         for r in catalog.orderBy("table", "ordinal").toLocalIterator():
             out.setdefault(r["table"], []).append(r["column"])
     return out

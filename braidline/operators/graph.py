@@ -14,7 +14,14 @@ from ..functions.columns import kind, kind_allowed, table_of
 
 
 def cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """A checkpoint in the shared folder; without one (on one machine) the plan goes on as it is."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        return df
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -108,13 +115,67 @@ def simple_paths(edges: DataFrame, starts: Column, most: int, ends: Column | Non
     steps = edges.select(F.col("source"), F.col("target")).distinct()
     now = steps.where(starts).where("source <> target").select(F.col("source").alias("head"), F.col("target").alias("tail"), F.array("source", "target").alias("path"))
     every = now
-    for _ in range(most - 1):
+    for hop in range(1, most):
+        if hop > 2:
+            now = cut(now)
+            if now.isEmpty():
+                break
         now = now.join(steps, F.col("tail") == F.col("source")).where(~F.array_contains("path", F.col("target"))).select("head", F.col("target").alias("tail"), F.concat("path", F.array("target")).alias("path"))
         every = every.unionByName(now)
     out = every.select("head", "tail", (F.size("path") - 1).cast("long").alias("hops"), F.array_join("path", ">").alias("path"))
     return out.where(ends) if ends is not None else out
 
 
+def top_chains(edges: DataFrame, most: int, shown: int = 5) -> DataFrame:
+    """(head, tail, hops, path): the ``shown`` longest simple paths of ``most`` hops at most; of those between two nodes
+    with equal length the last by name, and so in order."""
+    every = simple_paths(edges, F.lit(True), most)
+    once = every.groupBy("head", "tail", "hops").agg(F.max("path").alias("path"))
+    return once.orderBy(F.desc("hops"), F.desc("path")).limit(shown)
+
+
+def traverse(edges: DataFrame, start: str, downstream: bool = False, max_depth: int = 12, max_nodes: int = 2000, max_edges: int = 5000) -> tuple[DataFrame, DataFrame, bool]:
+    """(nodes (key, depth), edges (ord, source, target, kind), truncated): a walk in breadth-first order within bounds,
+    edges of a node by their ord. Each level is one join; the driver holds no more than the bounds allow."""
+    spark, first = edges.sparkSession, start.upper()
+    here, there = ("source", "target") if downstream else ("target", "source")
+    named = edges.select("ord", "source", "target", "kind", F.upper(here).alias("here"), F.upper(there).alias("there"))
+    depth: dict[str, int] = {}
+    rows, truncated = [], False
+    if not named.where((F.col("here") == first) | (F.col("there") == first)).isEmpty():
+        depth[first] = 0
+    front, level = list(depth), 0
+    while front:
+        at = spark.createDataFrame(list(enumerate(front)), "place long, here string")
+        step = named.join(F.broadcast(at), "here").orderBy("place", "ord")
+        if level == max_depth:
+            truncated |= not step.isEmpty()
+            break
+        front, level = [], level + 1
+        got = step.limit(max_edges - len(rows) + 1 + max_nodes).collect()
+        for r in got:
+            if len(rows) >= max_edges:
+                truncated = True
+                break
+            if r.there not in depth:
+                if len(depth) >= max_nodes:
+                    truncated = True
+                    continue
+                depth[r.there] = level
+                front.append(r.there)
+            rows.append((r.ord, r.source, r.target, r.kind))
+        truncated |= len(rows) < max_edges and len(got) == max_edges - len(rows) + 1 + max_nodes
+    kept = spark.createDataFrame(rows, "ord long, source string, target string, kind string")
+    return spark.createDataFrame(list(depth.items()), "key string, depth long"), kept, truncated
+
+
+def direct_datasets(edges: DataFrame, dataset: str) -> DataFrame:
+    """(dataset, side): the tables right before (up) and behind (down) a table."""
+    rolled = edges.select(table_of(F.col("source")).alias("s"), table_of(F.col("target")).alias("t")).where("s <> t")
+    up = rolled.where(F.upper("t") == dataset.upper()).select(F.col("s").alias("dataset"), F.lit("up").alias("side"))
+    return up.unionByName(rolled.where(F.upper("s") == dataset.upper()).select(F.col("t").alias("dataset"), F.lit("down").alias("side"))).distinct()
+
+
 def longest_chains(edges: DataFrame, most: int) -> DataFrame:
     """(tail, hops): how long the longest simple path is that ends in a node, up to ``most``."""
     return simple_paths(edges, F.lit(True), most).groupBy("tail").agg(F.max("hops").alias("hops"))

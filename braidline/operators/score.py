@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import coarse
@@ -83,3 +83,15 @@ def dynamic_buckets(diagnostics: DataFrame, relations: DataFrame) -> DataFrame:
     unresolved = diagnostics.where("code = 'DYNAMIC_SQL'").select("file", "line").distinct()
     parts = [d.select(F.lit(name).alias("bucket")) for name, d in (("unresolved", unresolved), ("partial", partial), ("full", full))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+def flow_pairs(relationships: DataFrame) -> DataFrame:
+    """(source, target, kind) of another engine's relationships (type, source, target), whose ids are
+    ``column.<table>.<column>`` or ``table.<table>``; other types and ids don't count."""
+    kinds = F.when(F.col("type") == "direct", "VALUE").when(F.col("type") == "indirect", "FILTER").when(F.col("type") == "dynamic_sql", "DYNAMIC")
+
+    def key(c: str) -> Column:
+        return F.when(F.col(c).rlike(r"^column\.[^.]+(\.[^.]+)+$"), F.upper(F.regexp_replace(c, r"^column\.", ""))).when(F.col(c).rlike(r"^table\.."), F.concat(F.upper(F.regexp_replace(c, r"^table\.", "")), F.lit(".*")))
+
+    out = relationships.select(key("source").alias("source"), key("target").alias("target"), kinds.alias("kind"))
+    return out.dropna().distinct()

@@ -61,6 +61,16 @@ def diagnose_text(diagnostics: DataFrame, budget: int = 1500) -> str:
     return cut_to_budget([f"{len(rows)} diagnostics", *(f"  {r['code']} {r['file']}:{r['line']} {r['message']}" for r in rows)], budget)
 
 
+def diagnostics_beside(diagnostics: DataFrame, files: DataFrame) -> DataFrame:
+    """What to tell beside an answer over tables: the diagnostics of the walk's ``files`` (file) and those without file;
+    for a walk without files only what may hide tables, dynamic statements and failed parses."""
+    walked = files.where("file is not null and file <> ''").select("file").distinct()
+    told = diagnostics.select("file", "line", "code", "message").distinct()
+    hiding = told.where(F.col("code").isin("DYNAMIC_SQL", "DYNAMIC_SQL_PARTIAL", "PARSE_FAILED"))
+    here = told.join(walked, "file", "left_semi").unionByName(told.where("coalesce(file, '') = ''").join(walked.limit(1).select(F.lit(1).alias("_some")), F.lit(1) == F.col("_some"), "left_semi"))
+    return here.unionByName(hiding.join(walked.limit(1).select(F.lit(1).alias("_some")), F.lit(1) == F.col("_some"), "left_anti"))
+
+
 def recommendations(shares: dict[str, float], codes: dict[str, int], files: int) -> list[str]:
     """What a run's figures suggest, by fixed thresholds."""
     out = []

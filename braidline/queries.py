@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import corpus, templates
 from .functions import columns as C
-from .operators import graph, score, store
+from .operators import focus, graph, score, store, text
 from .operators.analysis import analyze_sources, analyze_statements, edge_pairs
 from .operators.pipelines import evaluate
 from .sources.files import catalog_columns, columns_of
@@ -508,6 +508,92 @@ def focus_matching(spark, sf):
     return asked.join(known, "key", "left").agg(F.count("known").alias("matched"), F.count_if(F.col("known").isNull()).alias("unmatched"))
 
 
+def _answers(spark, sf):
+    """An answer for each file about one column, as text; two more that say what went wrong."""
+    edge = F.concat(F.lit("  "), "source", F.lit(" -> "), "target", F.lit(" ["), "kind", F.lit("]"))
+    told = column_graph(spark, sf).where("target = 'SYN.T7.C1'").groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", edge.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    wrong = spark.createDataFrame([("none", "No match: X"), ("blank", " ")], "file string, text string")
+    return told.select("file", F.concat(F.lit("SYN.T7.C1: upstream, depth 1, some edges\n"), "body").alias("text")).unionByName(wrong)
+
+
+@query(f"WITH {A} SELECT file, 'SYN.T7.C1' AS seed, count(*) AS n_edges, CAST(1 + count(DISTINCT nullif(source, 'SYN.T7.C1')) AS BIGINT) AS n_columns FROM a WHERE target = 'SYN.T7.C1' GROUP BY file")
+def focus_parsed(spark, sf):
+    """Answers read back: the column asked about, how many edges and names they show."""
+    got = focus.focus(_answers(spark, sf), most=1 << 30)
+    return got.select("file", "seed", F.size("edges").cast("long").alias("n_edges"), F.size("columns").cast("long").alias("n_columns"))
+
+
+@query("SELECT o_orderkey AS id, NOT starts_with(o_comment, 'Ambiguous:') AS focusable FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'Ambiguous: x' ELSE o_orderpriority END AS o_comment FROM orders)")
+def projection_focusable(spark, sf):
+    text = F.when(F.col("o_orderstatus") == "F", "Ambiguous: x").otherwise(F.col("o_orderpriority"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), focus.focusable(text).alias("focusable"))
+
+
+@query(f"WITH {A} SELECT ord, source, target, (SELECT count(*) FROM a WHERE target = 'SYN.T7.C1') > 200 AS truncated FROM a WHERE target = 'SYN.T7.C1' ORDER BY ord LIMIT 200")
+def capped_detail(spark, sf):
+    rows = column_graph(spark, sf).where("target = 'SYN.T7.C1'").select("ord", "source", "target")
+    return focus.capped(rows, [F.col("ord")], 200)
+
+
+@query(f"WITH {A}, {D}, w AS (SELECT DISTINCT file FROM a WHERE target = 'SYN.T7.C1' AND kind = 'DIRECT') SELECT DISTINCT file, line, code, message FROM d WHERE file IN (SELECT file FROM w)")
+def table_diagnostics(spark, sf):
+    return text.diagnostics_beside(diagnostics(spark, sf), column_graph(spark, sf).where("target = 'SYN.T7.C1' and kind = 'DIRECT'"))
+
+
+@query(f"WITH {D} SELECT DISTINCT file, line, code, message FROM d WHERE code IN ('DYNAMIC_SQL', 'DYNAMIC_SQL_PARTIAL', 'PARSE_FAILED')")
+def table_diagnostics_without_walk(spark, sf):
+    return text.diagnostics_beside(diagnostics(spark, sf), column_graph(spark, sf).limit(0))
+
+
+@query(f"WITH RECURSIVE {K}, w(head, tail, hops, path) AS (SELECT source, target, CAST(1 AS BIGINT), source || '>' || target FROM k UNION ALL SELECT head, target, hops + 1, path || '>' || target FROM w JOIN k ON source = tail WHERE hops < 3) SELECT head, tail, hops, max(path) AS path FROM w GROUP BY head, tail, hops ORDER BY hops DESC, path DESC LIMIT 8")
+def top_chains(spark, sf):
+    return graph.top_chains(key_graph(spark, sf), 3, 8)
+
+
+@query(f"WITH {A}, r AS (SELECT DISTINCT regexp_replace(source, '\\.[^.]*$', '') AS s, regexp_replace(target, '\\.[^.]*$', '') AS t FROM a) SELECT DISTINCT s AS dataset, 'up' AS side FROM r WHERE t = 'SYN.T7' AND s <> t UNION SELECT t, 'down' FROM r WHERE s = 'SYN.T7' AND s <> t")
+def direct_datasets(spark, sf):
+    return graph.direct_datasets(column_graph(spark, sf), "syn.t7")
+
+
+@query("SELECT item_id AS id, 'sha256:' || sha256(text) AS digest FROM benchmark WHERE text IS NOT NULL")
+def file_digests(spark, sf):
+    return table(spark, sf, "benchmark").where("text is not null").select(F.col("item_id").alias("id"), C.digest(F.col("text")).alias("digest"))
+
+
+@query("SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
+def event_stamps(spark, sf):
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), C.utc_stamp(F.col("ts")).alias("at"))
+
+
+@query("SELECT s_suppkey AS id, 'a.K = b.N' || s_nationkey AS predicate FROM supplier")
+def bare_clauses(spark, sf):
+    labels = F.element_at(F.array(*(F.lit(x) for x in ("WHERE ", "JOIN ", "MERGE ON ", ""))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), C.bare_clause(F.concat(labels, F.lit("a.K = b.N"), F.col("s_nationkey").cast("string"), F.lit("(+)"))).alias("predicate"))
+
+
+@query("SELECT n_nationkey AS id, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation")
+def json_round_trip(spark, sf):
+    packed = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("region"))).alias("j"))
+    return packed.select("id", F.from_json("j", "name string, region long").alias("r")).select("id", "r.name", "r.region")
+
+
+@query("SELECT CASE l_returnflag WHEN 'A' THEN 'VALUE' WHEN 'N' THEN 'FILTER' END AS kind, 'S' || l_suppkey || '.C' || l_linenumber AS source, 'T' || l_partkey || CASE WHEN l_linestatus = 'O' THEN '.*' ELSE '.X' END AS target FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY ALL")
+def flow_format_pairs(spark, sf):
+    """Another engine's ids and relationship types."""
+    kind = F.when(F.col("l_returnflag") == "A", "direct").when(F.col("l_returnflag") == "N", "indirect").otherwise("other")
+    to = F.when(F.col("l_linestatus") == "O", F.concat(F.lit("table.t"), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("column.t"), F.col("l_partkey").cast("string"), F.lit(".x")))
+    rows = table(spark, sf, "lineitem").select(kind.alias("type"), F.concat(F.lit("column.s"), F.col("l_suppkey").cast("string"), F.lit(".c"), F.col("l_linenumber").cast("string")).alias("source"), to.alias("target"))
+    return score.flow_pairs(rows)
+
+
+@query("SELECT 'IF' || n_regionkey AS interface, 'A' || n_nationkey AS adapter, 'C' || l AS \"column\" FROM nation, (VALUES (0), (1), (2)) v(l) WHERE l > n_nationkey % 3")
+def adapter_columns(spark, sf):
+    """Write edges to columns 0 to 2 against adapters that write the first one, two or three of them."""
+    n = table(spark, sf, "nation").select(F.concat(F.lit("IF"), F.col("n_regionkey").cast("string")).alias("interface"), F.concat(F.lit("A"), F.col("n_nationkey").cast("string")).alias("adapter"), (F.col("n_nationkey") % 3).cast("int").alias("k"))
+    three = F.array(F.lit("C0"), F.lit("C1"), F.lit("C2"))
+    return corpus.columns_beside_blobs(n.select("interface", "adapter", F.explode(three).alias("column")), n.select("interface", "adapter", F.slice(three, F.lit(1), F.col("k") + 1).alias("update_columns")))
+
+
 # -- statements, sources and pipelines read from text -------------------------------------------------------------------
 
 
@@ -650,10 +736,10 @@ def validation_report(spark, sf):
     return diagnostics(spark, sf).groupBy(F.col("code").alias("check_name")).agg(F.count("*").alias("total"), F.count_if(F.col("line") % 3 == 0).alias("failed"))
 
 
-@query("SELECT coalesce(t.id, s.id) AS id, CASE WHEN s.id IS NULL THEN t.v ELSE s.v END AS v FROM (SELECT c_custkey AS id, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0) t FULL JOIN (SELECT c_custkey AS id, c_acctbal * 2 AS v FROM customer WHERE c_custkey % 3 = 0) s ON t.id = s.id")
+@query("SELECT coalesce(t.id, s.id) AS id, CASE WHEN s.id IS NULL THEN t.v ELSE s.v END AS v FROM (SELECT c_custkey AS id, c_acctbal AS v FROM customer WHERE c_mktsegment <> 'BUILDING') t FULL JOIN (SELECT c_custkey AS id, c_acctbal * 2 AS v FROM customer WHERE c_acctbal > 0) s ON t.id = s.id")
 def twin_merge(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
-    t, s = c.where("id % 2 = 0"), c.where("id % 3 = 0").select("id", (F.col("v") * 2).alias("w"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), "c_mktsegment")
+    t, s = c.where("c_mktsegment <> 'BUILDING'").select("id", "v"), c.where("v > 0").select("id", (F.col("v") * 2).alias("w"))
     return t.join(s, "id", "full").select("id", F.when(F.col("w").isNull(), F.col("v")).otherwise(F.col("w")).alias("v"))
 
 

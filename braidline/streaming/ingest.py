@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..operators import store
 from ..operators.analysis import analyze_sources, edge_pairs
+from ..sources.files import decoded
 
 SOURCES = "path string, text string"
 
 
 def source_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """(path, text) of files as they appear."""
+    """(path, text) of files as they appear, in the encodings that the batch reader knows."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.sql").option("maxFilesPerTrigger", files_per_batch).load(folder)
-    return raw.select("path", F.decode("content", "UTF-8").alias("text"))
+    return decoded(raw).select("path", "text")
 
 
 def ingest(spark: SparkSession, folder: str, store_path: str, catalog: dict[str, list[str]] | None = None):

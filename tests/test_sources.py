@@ -1,6 +1,7 @@
 """Files, engine results, the store, text answers, the stream."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,68 @@ def test_generated_interfaces(spark):
     packages = corpus.packages(spark, 3, 5)
     assert {r.text for r in packages.collect()} == {r.text for r in packages.repartition(2).collect()}
     assert corpus.ceiling(packages).agg(F.sum("reachable")).first()[0] > 0
+
+
+def test_traverse_stays_within_bounds(spark):
+    rng = random.Random(4)
+    pairs = [(f"N{rng.randrange(30)}", f"N{rng.randrange(30)}") for _ in range(70)]
+    edges = spark.createDataFrame([(k, a, b, "DIRECT") for k, (a, b) in enumerate(pairs)], "ord long, source string, target string, kind string")
+    for downstream in (True, False):
+        for depth, nodes, most in ((12, 2000, 5000), (1, 2000, 5000), (12, 6, 5000), (12, 2000, 9)):
+            found, rows, cut, queue, at = {"N1": 0}, [], False, ["N1"], 0
+            while at < len(queue):
+                here, at = queue[at], at + 1
+                own = [(k, a, b) for k, (a, b) in enumerate(pairs) if (a if downstream else b) == here]
+                if own and found[here] >= depth:
+                    cut = True
+                    continue
+                for k, a, b in own:
+                    if len(rows) >= most:
+                        cut = True
+                        break
+                    there = b if downstream else a
+                    if there not in found:
+                        if len(found) >= nodes:
+                            cut = True
+                            continue
+                        found[there] = found[here] + 1
+                        queue.append(there)
+                    rows.append(k)
+            got, kept, truncated = graph.traverse(edges, "n1", downstream, depth, nodes, most)
+            assert {r.key: r.depth for r in got.collect()} == found and {r.ord for r in kept.collect()} == set(rows) and truncated == cut
+    assert graph.traverse(edges, "unknown")[0].count() == 0
+
+
+def test_focus_of_answers(spark):
+    from braidline.operators import focus
+
+    texts = ["A.B: upstream, depth 1, 2 edges\n  x.Y -> A.B [DIRECT]\n  X.y -> a.b [FILTER]\n... 3 lines beyond the budget of 9", "Ambiguous: Q", "No edges at all", None, ""]
+    got = focus.focus(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).orderBy("id").collect()
+    assert [(r.id, r.seed, r.columns, len(r.edges), r.truncated) for r in got] == [(0, "A.B", ["A.B", "x.Y"], 2, True), (2, None, [], 0, False)]
+    hub = focus.FocusHub()
+    assert hub.publish({"seed": "A"}) == 1 and hub.snapshot() == (1, {"seed": "A"}) and hub.wait_after(1, 0.01) is None
+    hub.clear()
+    assert hub.wait_after(1, 1) == (2, None)
+
+
+def test_walk_as_a_table_function(spark):
+    register(spark)
+    spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A"), ("D", "C"), (None, "C")], "source string, target string").createOrReplaceTempView("walk_edges")
+    got = spark.sql("SELECT key, depth FROM lineage_walk(TABLE(SELECT source, target FROM walk_edges) WITH SINGLE PARTITION, 'c', 2)").collect()
+    assert {r.key: r.depth for r in got} == {"C": 0, "B": 1, "D": 1, "A": 2}
+
+
+def test_catalogue_is_bounded(spark):
+    from braidline.operators.analysis import catalog_map
+
+    catalog = spark.createDataFrame([("SYN.A", 0, "X"), ("SYN.B", 0, "Y"), ("SYN.B", 1, "Z")], "table string, ordinal long, column string")
+    files = spark.createDataFrame([("f", "insert into b select 1")], "path string, text string")
+    assert catalog_map(catalog) == {"SYN.A": ["X"], "SYN.B": ["Y", "Z"]} and catalog_map(catalog, files, 2) == {"SYN.B": ["Y", "Z"]}
+    with pytest.raises(ValueError):
+        catalog_map(catalog, files, 1)
+
+
+def test_truths_come_together(spark):
+    got = corpus.every_truth(corpus.packages(spark, 2), corpus.interfaces(spark, 2))
+    assert {r.origin for r in got.select("origin").distinct().collect()} == {"package", "interface"}
+    assert got.where("origin = 'interface' and tier is not null").count() == 0
