@@ -34,16 +34,27 @@ def words_of(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
 
 
+@dataclass
+class Windows:
+    """The distinct windows of one length, as numbers of words, a row each; whose they are: of row r the items
+    ``owner[at[r]:at[r + 1]]``."""
+
+    rows: np.ndarray
+    at: np.ndarray
+    owner: np.ndarray
+
+
 @dataclass
 class ItemBlock:
-    """Windows of some items, as numbers of words; 0 stands for words that no item has."""
+    """Windows of some items; in them 0 stands for words that no item has."""
 
     vocabulary: dict[bytes, int]
-    windows: list[tuple[int, ...]]
-    owners: list[list[str]]
+    names: list[str]
+    windows: list[Windows]
+    #: by shingle length: sorted keys of all shingles
     shingles: dict[int, np.ndarray]
-    #: by shingle length: (sorted keys, for each key the windows and offsets that it leads to)
-    index: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]]
+    #: by shingle length: sorted keys of the prefixes, and which Windows, row and offset each leads to
+    leads: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def shingle_keys(ids: np.ndarray, size: int) -> np.ndarray:
@@ -60,29 +71,55 @@ def shingle_keys(ids: np.ndarray, size: int) -> np.ndarray:
     return np.where(known, key | np.uint64(1), np.uint64(0))
 
 
+def row_keys(rows: np.ndarray, size: int) -> np.ndarray:
+    """``shingle_keys`` of each row."""
+    n = rows.shape[1] - size + 1
+    key = np.zeros((len(rows), n), np.uint64)
+    for k in range(size):
+        key = (key ^ rows[:, k : k + n].astype(np.uint64)) * STEP
+        key ^= key >> np.uint64(29)
+    return key | np.uint64(1)
+
+
 def block_of(items: list[tuple[str, str]], window: int, shingle: int) -> ItemBlock:
     vocabulary: dict[bytes, int] = {}
-    owners: dict[tuple[int, ...], set[str]] = {}
-    for item, text in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-        for start in range(max(1, len(ids) - window + 1) if ids else 0):
-            owners.setdefault(tuple(ids[start : start + window]), set()).add(item)
-    keys: dict[int, set[int]] = {}
-    for words in owners:
-        size = min(shingle, len(words))
-        keys.setdefault(size, set()).update(shingle_keys(np.array(words, np.int64), size).tolist())
-    return ItemBlock(vocabulary, list(owners), [sorted(o) for o in owners.values()], {n: np.array(sorted(k), np.uint64) for n, k in keys.items()}, {})
-
-
-def choose_prefixes(block: ItemBlock, counts: dict[tuple[int, int], int], shingle: int) -> None:
-    """For each window its rarest shingle (ties: the smallest key, then the first place)."""
-    leads: dict[int, dict[int, list[tuple[int, int]]]] = {}
-    for number, words in enumerate(block.windows):
-        size = min(shingle, len(words))
-        keys = shingle_keys(np.array(words, np.int64), size).tolist()
-        _, key, offset = min((counts.get((size, k), 0), k, at) for at, k in enumerate(keys))
-        leads.setdefault(size, {}).setdefault(key, []).append((number, offset))
-    block.index = {n: (np.array(sorted(by), np.uint64), [by[k] for k in sorted(by)]) for n, by in leads.items()}
+    texts = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)], np.int32) for _, text in items]
+    lengths = np.array([len(t) for t in texts], np.int64)
+    flat, first = np.concatenate([*texts, np.zeros(0, np.int32)]), np.cumsum(lengths) - lengths
+    block = ItemBlock(vocabulary, [name for name, _ in items], [], {}, {})
+    keys: dict[int, list[np.ndarray]] = {}
+    for width in np.unique(np.minimum(lengths, window)).tolist():
+        if not width:
+            continue
+        own = np.flatnonzero(np.minimum(lengths, window) == width)
+        times = lengths[own] - width + 1
+        item = np.repeat(own, times)
+        start = np.repeat(first[own] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        rows = np.ascontiguousarray(flat[start[:, None] + np.arange(width)])
+        _, place, same = np.unique(rows.view(np.dtype((np.void, 4 * width))).reshape(-1), return_index=True, return_inverse=True)
+        pairs = np.unique(same.reshape(-1).astype(np.int64) * len(items) + item)
+        at = np.searchsorted(pairs // len(items), np.arange(len(place) + 1))
+        block.windows.append(Windows(rows[place], at, (pairs % len(items)).astype(np.int32)))
+        size = min(shingle, width)
+        keys.setdefault(size, []).append(np.unique(row_keys(rows[place], size)))
+    block.shingles = {n: np.unique(np.concatenate(k)) for n, k in keys.items()}
+    return block
+
+
+def choose_prefixes(block: ItemBlock, counts: dict[int, np.ndarray], shingle: int) -> None:
+    """For each window its rarest shingle, of equals the first; ``counts`` are in the order of ``block.shingles``."""
+    found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    for number, windows in enumerate(block.windows):
+        size = min(shingle, windows.rows.shape[1])
+        for lo in range(0, len(windows.rows), 100_000):
+            keys = row_keys(windows.rows[lo : lo + 100_000], size)
+            offset = counts[size][np.searchsorted(block.shingles[size], keys)].argmin(1)
+            n = np.arange(len(keys))
+            found.setdefault(size, []).append((keys[n, offset], np.full(len(n), number, np.int16), (lo + n).astype(np.int32), offset.astype(np.int16)))
+    for size, parts in found.items():
+        key, number, row, offset = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        block.leads[size] = (key[order], number[order], row[order], offset[order])
 
 
 def _ids(block: ItemBlock, words: list[bytes]) -> np.ndarray:
@@ -90,7 +127,7 @@ def _ids(block: ItemBlock, words: list[bytes]) -> np.ndarray:
     return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
 
 
-def _count(docs: DataFrame, shared) -> dict[tuple[int, int], int]:
+def _count(docs: DataFrame, shared) -> dict[int, np.ndarray]:
     """How often each shingle of the block occurs in the whole corpus: summed in each task, then over the tasks."""
 
     def run(batches):
@@ -113,9 +150,10 @@ def _count(docs: DataFrame, shared) -> dict[tuple[int, int], int]:
                 part = some[start : start + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array([n] * len(part), pa.int32()), pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["size", "place", "n"])
 
-    rows = docs.mapInArrow(run, "size int, place long, n long").groupBy("size", "place").agg(F.sum("n").alias("n")).collect()
-    known = shared.value.shingles
-    return {(r["size"], int(known[r["size"]][r["place"]])): r["n"] for r in rows}
+    out = {n: np.zeros(len(k), np.int64) for n, k in shared.value.shingles.items()}
+    for r in docs.mapInArrow(run, "size int, place long, n long").groupBy("size", "place").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["size"]][r["place"]] = r["n"]
+    return out
 
 
 def find_windows(block: ItemBlock, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -123,23 +161,22 @@ def find_windows(block: ItemBlock, words: list[bytes]) -> tuple[list[tuple[int,
     ids, ranges, items = _ids(block, words), [], set()
     if not ids.any():
         return ranges, items
-    listed = None
-    for n, (known, leads) in block.index.items():
+    for n, (known, number, row, offset) in block.leads.items():
         keys = shingle_keys(ids, n)
         places = np.flatnonzero(keys)
-        at = np.searchsorted(known, keys[places])
-        at[at == len(known)] = 0
-        same = known[at] == keys[places]
-        for place, k in zip(places[same].tolist(), at[same].tolist(), strict=True):
-            for number, offset in leads[k]:
-                window = block.windows[number]
-                start = place - offset
-                if start < 0 or start + len(window) > len(words):
-                    continue
-                listed = listed or ids.tolist()
-                if tuple(listed[start : start + len(window)]) == window:
-                    ranges.append((start, start + len(window)))
-                    items.update(block.owners[number])
+        low, high = (np.searchsorted(known, keys[places], side) for side in ("left", "right"))
+        some = high > low
+        for place, a, b in zip(places[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True):
+            for which in np.unique(number[a:b]).tolist():
+                windows = block.windows[which]
+                width = windows.rows.shape[1]
+                lead = a + np.flatnonzero(number[a:b] == which)
+                start = place - offset[lead].astype(np.int64)
+                lead, start = lead[(start >= 0) & (start + width <= len(ids))], start[(start >= 0) & (start + width <= len(ids))]
+                same = (ids[start[:, None] + np.arange(width)] == windows.rows[row[lead]]).all(1)
+                for begin, r in zip(start[same].tolist(), row[lead[same]].tolist(), strict=True):
+                    ranges.append((begin, begin + width))
+                    items.update(block.names[k] for k in windows.owner[windows.at[r] : windows.at[r + 1]].tolist())
     return ranges, items
 
 
