@@ -80,6 +80,20 @@ def write(made: DataFrame, folder: str) -> None:
     made.select(F.col("path").alias("file"), lines.alias("lines"), F.size("truth").alias("edges"), F.array_max(F.transform("truth", lambda t: t["tier"])).alias("tier")).write.mode("overwrite").json(f"{folder}/manifest")
 
 
+def write_interfaces(made: DataFrame, folder: str) -> None:
+    """Interfaces' files as a table (interface, path, text) from which a tree can be laid out, their truth, and a manifest
+    with what each holds."""
+    from .sources.artefacts import artefacts
+
+    artefacts(made).write.mode("overwrite").json(f"{folder}/artefacts")
+    made.select("interface", F.explode("truth").alias("t")).select("interface", "t.*").write.mode("overwrite").json(f"{folder}/truth")
+    files = made.sparkSession.read.schema("interface string, path string, text string").json(f"{folder}/artefacts")
+    adapter = F.col("path").startswith("adpt/")
+    held = files.groupBy("interface").agg(F.sort_array(F.collect_list("path")).alias("artefacts"), F.count_if(adapter).alias("adapters"), F.sum(F.octet_length("text")).alias("bytes"))
+    severed = made.select("interface", F.size(F.filter("truth", lambda t: t["kind"] == "SEVERED")).alias("severed"), F.size("truth").alias("edges"))
+    held.join(severed, "interface").write.mode("overwrite").json(f"{folder}/manifest")
+
+
 def ceiling(made: DataFrame) -> DataFrame:
     """What an analyser that reads each statement alone could reach: (tier, reachable, blocked)."""
     rows = made.select(F.explode("truth").alias("t")).select("t.*")

@@ -10,6 +10,7 @@ from .functions import columns as C
 from .operators import focus, graph, score, store, text
 from .operators.analysis import analyze_sources, analyze_statements, edge_pairs
 from .operators.pipelines import evaluate
+from .sources.artefacts import artefacts, interfaces_of
 from .sources.files import catalog_columns, columns_of
 from .sources.records import decode_blobs, encode_blobs
 from .sources.tables import column_graph, diagnostics, engine_graph, key_graph, table
@@ -634,7 +635,13 @@ def _read() -> None:
             asked = table(spark, sf, "nation").repartition(4).select(F.col("n_nationkey").cast("string").alias("interface"), _filled(t).alias("steps"))
             return evaluate(asked).select(F.col("interface").alias("id"), "target", "source", "kind", "hops").distinct()
 
+        def from_files(spark, sf, t=steps):
+            """The same from the interface's files: written, read back, followed."""
+            asked = table(spark, sf, "nation").repartition(4).select(F.col("n_nationkey").cast("string").alias("interface"), _filled(t).alias("steps"))
+            return evaluate(interfaces_of(artefacts(asked))).select(F.col("interface").alias("id"), "target", "source", "kind", "hops").distinct()
+
         query(_stated(rows, ["target", "source", "kind", "hops"]), name)(run)
+        query(_stated(rows, ["target", "source", "kind", "hops"]), f"artefact_{name}")(from_files)
 
 
 _read()

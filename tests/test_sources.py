@@ -13,6 +13,8 @@ from braidline.operators import graph, score, store
 from braidline.operators.analysis import analyze_sources, edge_pairs
 from braidline.operators.export import read_viewer, write_viewer
 from braidline.operators.pipelines import evaluate
+from braidline.sources.artefacts import interfaces_of
+from braidline.sources.records import blobs_of
 from braidline.operators.text import cut_to_budget, diagnose_text, path_text, query_text, recommendations
 from braidline.session import LineageSession
 from braidline.sources.files import chain_sample, columns_of, catalog_columns, decoded, read_engine, sql_files, write_engine
@@ -218,3 +220,15 @@ def test_truths_come_together(spark):
     got = corpus.every_truth(corpus.packages(spark, 2), corpus.interfaces(spark, 2))
     assert {r.origin for r in got.select("origin").distinct().collect()} == {"package", "interface"}
     assert got.where("origin = 'interface' and tier is not null").count() == 0
+
+
+def test_interfaces_as_files(spark, tmp_path):
+    made = corpus.interfaces(spark, 12)
+    corpus.write_interfaces(made, f"file://{tmp_path}")
+    manifest = spark.read.json(f"file://{tmp_path}/manifest").collect()
+    assert len(manifest) == 12 and all("node.idf" in r.artefacts and "srvc/main/flow.xml" in r.artefacts and r.adapters >= 1 for r in manifest)
+    files = spark.read.json(f"file://{tmp_path}/artefacts")
+    back = {(r.interface, r.target, r.source, r.kind, r.hops) for r in evaluate(interfaces_of(files)).collect()}
+    assert back == {(r.interface, r.target, r.source, r.kind, r.hops) for r in evaluate(made).collect()}
+    blobs = blobs_of(files).count()
+    assert blobs == sum(r.adapters for r in manifest)
