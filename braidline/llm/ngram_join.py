@@ -30,6 +30,8 @@ from .common import forget, kept, settle, small_batches, text_rows
 from .components import components
 
 SKETCH = 8  # 64-bit words of a parity sketch
+WIDE, FOLDED = 128, 32  # words of that which large sets have besides, as it is stored and as it is joined
+LARGE = 800  # features
 GOLD, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -114,9 +116,10 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return both > 0 and den * both >= num * (len(a) + len(b) - both)
 
 
-def parity(features: np.ndarray) -> np.ndarray:
-    """512 bits, each the parity of the features that hash to it: two sets differ in at least as many features as bits."""
-    counts = np.bincount((mix(features + GOLD) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH)
+def parity(features: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """64 bits a word, each the parity of the features that hash to it: two sets differ in at least as many features as
+    bits."""
+    counts = np.bincount((mix(features + GOLD) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words)
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
@@ -124,21 +127,23 @@ MARKS = [f"s{k}" for k in range(SKETCH)]
 
 
 def _sizes(rows: DataFrame, size: int, id_type: str) -> DataFrame:
-    """(id, n, key, s0 ..) for each row: the size of its set, its digest and its parity sketch."""
+    """(id, n, key, wide, s0 ..) for each row: the size of its set, its digest and its parity sketches; ``wide`` for large
+    sets only."""
 
     def run(batches):
         shingler = kept(("shingles", size), lambda: Shingler(size))
         for batch in batches:
-            n, key, bits = [], [], []
+            n, key, wide, bits = [], [], [], []
             for text in batch.column(1).to_pylist():
                 features = shingler.of(text)
                 n.append(len(features))
                 key.append(hashlib.blake2b(features.tobytes(), digest_size=16).digest())
+                wide.append(parity(features, WIDE) if len(features) > LARGE else None)
                 bits.append(parity(features))
             bits = np.array(bits, np.int64).reshape(len(n), SKETCH)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), *(pa.array(bits[:, k]) for k in range(SKETCH))], ["id", "n", "key", *MARKS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(wide, pa.list_(pa.int64())), *(pa.array(bits[:, k]) for k in range(SKETCH))], ["id", "n", "key", "wide", *MARKS])
 
-    return rows.mapInArrow(run, f"id {id_type}, n long, key binary, " + ", ".join(f"{m} long" for m in MARKS))
+    return rows.mapInArrow(run, f"id {id_type}, n long, key binary, wide array<long>, " + ", ".join(f"{m} long" for m in MARKS))
 
 
 def _signed(rows: DataFrame, size: int, num: int, den: int, id_type: str) -> DataFrame:
@@ -192,6 +197,17 @@ def _may_link(x: str, y: str, num: int, den: int) -> Column:
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & (differ * (num + den) <= (n + m) * (den - num))
 
 
+def _differ(words: list[tuple[Column, Column]], n: Column, m: Column, num: int, den: int) -> Column:
+    """Do sketches rule out that sets of n and m features link?"""
+    return reduce(add, (F.bit_count(x.bitwiseXOR(y)) for x, y in words)) * (num + den) > (n + m) * (den - num)
+
+
+def _folded(wide: str) -> list[Column]:
+    """FOLDED words of a wide sketch: words that lie FOLDED apart fall together, as their features' hashes do."""
+    word = lambda k: F.coalesce(F.get(wide, F.lit(k)), F.lit(0))
+    return [reduce(lambda a, b: a.bitwiseXOR(b), (word(j) for j in range(k, WIDE, FOLDED))).alias(f"w{k}") for k in range(FOLDED)]
+
+
 def _close(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
     """Those of ``pairs`` (a, b and more) whose sets may link; only their sets are gathered."""
     both = pairs.alias("p").join(marks.alias("x"), F.col("p.a") == F.col("x.id")).join(marks.alias("y"), F.col("p.b") == F.col("y.id"))
@@ -249,8 +265,16 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     member = bucketed.join(reps, "id").select("sig", F.col("rep").alias("id")).join(groups, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
     torn = member.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
     open_ = settle(member.join(torn, "sig").distinct().join(marks, "id"), "open")
-    pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", num, den))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(led.select("a", "b"), ["a", "b"], "left_anti")
+    wide = sizes.where("wide is not null and id is not null").join(first.select("key", F.col("rep").alias("id")), ["key", "id"]).select("id", "n", "wide").dropDuplicates(["id", "n"])
+    met = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", num, den)
+    small, large = open_.where(F.col("n") * num <= LARGE * den), open_.where(F.col("n") > LARGE).join(wide, ["id", "n"]).select("sig", "id", "component", "n", *MARKS, *_folded("wide"))
+    pairs = small.alias("x").join(small.alias("y"), met & (F.least("x.n", "y.n") <= LARGE)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    pairs = pairs.unionByName(large.alias("x").join(large.alias("y"), met & ~_differ([(F.col(f"x.w{k}"), F.col(f"y.w{k}")) for k in range(FOLDED)], F.col("x.n"), F.col("y.n"), num, den)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    pairs = settle(pairs.distinct().join(led.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    # Of the pairs left, the large ones are looked at through the whole of their sketches.
+    both = pairs.join(wide.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("x")), "a", "left").join(wide.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("y")), "b", "left")
+    apart = _differ([(F.get("x", F.lit(k)), F.get("y", F.lit(k))) for k in range(WIDE)], F.col("na"), F.col("nb"), num, den)
+    pairs = both.where(~F.coalesce(apart, F.lit(False))).select("a", "b").distinct()
     pairs = settle(pairs, "pairs")
     sets = _gathered(rows, pairs, size, id_type)
     last = settle(_verified(pairs, sets, num, den, id_type), "linked")
