@@ -33,10 +33,13 @@ def focus(answers: DataFrame, text: str = "text", most: int = 500) -> DataFrame:
     shown = answers.where(focusable(body)).withColumn("_every", edges).withColumn("seed", F.nullif(F.regexp_extract(body, HEADING, 1), F.lit("")))
     shown = shown.withColumn("edges", F.slice("_every", 1, most))
     names = F.concat(F.array("seed"), F.flatten(F.transform("edges", lambda e: F.array(e["source"], e["target"]))))
-    folded = F.transform("_names", lambda n: F.upper(n))
-    once = F.filter("_names", lambda n, k: n.isNotNull() & (F.array_position(folded, F.upper(n)) == k + 1))
-    shown = shown.withColumn("_names", names).withColumn("columns", once)
-    return shown.withColumn("truncated", (F.size("_every") > most) | body.rlike(r"(?m)^\.\.\. \d+ lines beyond")).drop("_every", "_names")
+    shown = shown.withColumn("_names", F.array_distinct(F.filter(names, lambda n: n.isNotNull())))
+    # Spellings of a name stand together, the first one in front; sorting keeps this near linear in long answers.
+    shown = shown.withColumn("_sorted", F.sort_array(F.transform("_names", lambda n, k: F.struct(F.upper(n).alias("folded"), k.alias("at"), n.alias("name")))))
+    first = F.filter("_sorted", lambda s, k: (k == 0) | (F.get("_sorted", k - 1)["folded"] != s["folded"]))
+    shown = shown.withColumn("_first", F.sort_array(F.transform(first, lambda s: F.struct(s["at"].alias("at"), s["name"].alias("name")))))
+    shown = shown.withColumn("columns", F.transform("_first", lambda s: s["name"]))
+    return shown.withColumn("truncated", (F.size("_every") > most) | body.rlike(r"(?m)^\.\.\. \d+ lines beyond")).drop("_every", "_names", "_sorted", "_first")
 
 
 def capped(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
