@@ -169,6 +169,25 @@ def traverse(edges: DataFrame, start: str, downstream: bool = False, max_depth:
     return spark.createDataFrame(list(depth.items()), "key string, depth long"), kept, truncated
 
 
+def levels(edges: DataFrame, starts: Column) -> DataFrame:
+    """(level, n): on how many ways each level is reached from the nodes where ``starts`` holds (a condition on
+    ``source``), which are level 1. Only nodes with edges of their own are walked, each once with the number of ways to it. A cycle
+    is an error, as there are ways of any length."""
+    steps = edges.select("source", "target")
+    out = cut(steps.groupBy("source").agg(F.count("*").alias("out")))
+    inner = cut(steps.join(out.select(F.col("source").alias("target")), "target", "left_semi"))
+    front = cut(out.where(starts).select(F.col("source").alias("name"), F.lit(1).cast("long").alias("ways")))
+    found: list[tuple[int, int]] = []
+    n, most = front.count(), out.count() + 1
+    while n:
+        found.append((len(found) + 1, n))
+        if len(found) > most:
+            raise ValueError("the edges hold a cycle")
+        n = front.join(out, F.col("name") == F.col("source")).agg(F.sum(F.col("ways") * F.col("out"))).first()[0]
+        front = cut(front.join(inner, F.col("name") == F.col("source")).groupBy(F.col("target").alias("name")).agg(F.sum("ways").alias("ways")))
+    return edges.sparkSession.createDataFrame(found, "level long, n long")
+
+
 def direct_datasets(edges: DataFrame, dataset: str) -> DataFrame:
     """(dataset, side): the tables right before (up) and behind (down) a table."""
     rolled = edges.select(table_of(F.col("source")).alias("s"), table_of(F.col("target")).alias("t")).where("s <> t")

@@ -763,8 +763,7 @@ def twin_unpivot(spark, sf):
 
 @query(f"WITH RECURSIVE {K}, w(name, level) AS (SELECT DISTINCT source, CAST(1 AS BIGINT) FROM k WHERE source LIKE 'REGION.%' UNION ALL SELECT target, level + 1 FROM w JOIN k ON source = name) SELECT level, count(*) AS n FROM w GROUP BY level")
 def twin_connect_by(spark, sf):
-    key_graph(spark, sf).createOrReplaceTempView("braidline_k")
-    return spark.sql("WITH RECURSIVE w(name, level) AS (SELECT DISTINCT source, CAST(1 AS BIGINT) FROM braidline_k WHERE source LIKE 'REGION.%' UNION ALL SELECT target, level + 1 FROM w JOIN braidline_k ON source = name) SELECT level, count(*) AS n FROM w GROUP BY level")
+    return graph.levels(key_graph(spark, sf), F.startswith("source", F.lit("REGION.")))
 
 
 @query("SELECT n_nationkey AS id, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY 1")

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,12 +10,13 @@ from pyspark.sql import functions as F
 from braidline.functions.columns import fnv1a, parse_kinds
 from braidline import corpus
 from braidline.functions.udtfs import register
-from braidline.operators import graph, score, store
+from braidline.operators import focus, graph, score, store
 from braidline.operators.analysis import analyze_sources, edge_pairs
 from braidline.operators.export import read_viewer, write_viewer
 from braidline.operators.pipelines import evaluate
 from braidline.sources.artefacts import interfaces_of
 from braidline.sources.records import blobs_of
+from braidline.queries import QUERIES
 from braidline.operators.text import cut_to_budget, diagnose_text, path_text, query_text, recommendations
 from braidline.session import LineageSession
 from braidline.sources.files import chain_sample, columns_of, catalog_columns, decoded, read_engine, sql_files, write_engine
@@ -232,3 +234,28 @@ def test_interfaces_as_files(spark, tmp_path):
     assert back == {(r.interface, r.target, r.source, r.kind, r.hops) for r in evaluate(made).collect()}
     blobs = blobs_of(files).count()
     assert blobs == sum(r.adapters for r in manifest)
+
+
+def test_levels_count_every_way_whatever_the_row_limit_of_recursion(spark):
+    pairs = [("R.1", "A"), ("R.1", "A"), ("R.2", "A"), ("A", "B"), ("A", "C"), ("B", "C"), ("C", None), ("X", "Y"), (None, "A")]
+    edges = spark.createDataFrame(pairs, "source string, target string")
+    starts = F.startswith("source", F.lit("R."))
+    assert [tuple(r) for r in graph.levels(edges, starts).orderBy("level").collect()] == [(1, 2), (2, 3), (3, 6), (4, 6), (5, 3)]
+    assert graph.levels(edges, F.lit(False)).count() == 0
+    with pytest.raises(ValueError, match="cycle"):
+        graph.levels(spark.createDataFrame([("R.1", "A"), ("A", "R.1")], "source string, target string"), starts)
+    limit = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(limit, "10")
+    try:
+        assert QUERIES["twin_connect_by"](spark, "/root/testdata/sf0.001").count() == 4
+    finally:
+        spark.conf.unset(limit)
+
+
+def test_names_of_a_long_answer_are_found_in_time(spark):
+    edges = [f"  S{k}.a -> s{k % 50}.A [DIRECT]" for k in range(20_000)]
+    answers = spark.createDataFrame([("T.X: upstream, depth 1, some edges\n" + "\n".join(edges),)], "text string")
+    began = time.monotonic()
+    got = focus.focus(answers, most=1 << 30).select("columns").first()[0]
+    assert time.monotonic() - began < 60
+    assert got[:4] == ["T.X", "S0.a", "S1.a", "S2.a"] and len(got) == 20_001
