@@ -3,12 +3,13 @@
 A line is the set of its distinct lower-cased words. Equal sets are one class. The words of a set are ordered by rarity
 and only a prefix of them is joined: two sets with Jaccard similarity of ``num``/``den`` or more share a word there. The
 lengths of the sets, the positions of the shared word and a 64-bit parity map of the sets bound their overlap, all
-within the join's condition; what is left is verified on the whole sets. A line goes if an earlier line, by document id
-and line number, is that similar to it.
+within the join's condition. Long sets, for which the map is too dense, have longer prefixes and must share more words
+there. What is left is verified on the whole sets. A line goes if an earlier line, by document id and line number, is
+that similar to it.
 
 One witness suffices, so a group of near copies isn't listed pair by pair. First each class meets a few leaders: the
 earliest classes that share one of its rarest words and its band of lengths. Only classes that no leader beats are then
-joined with all earlier ones.
+joined with all earlier ones, in rounds over the words, so that the shuffle of one round only is on disk.
 
 Words count as equal if their 64-bit hashes are. A sketch of fixed size reaches every task: how often the words of a
 hash bucket occur in the corpus. It makes the order by rarity; any order gives the same result.
@@ -16,6 +17,8 @@ hash bucket occur in the corpus. It makes the order by rarity; any order gives t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,7 @@ from .common import forget, settle, text_rows
 
 RARITY_BITS, CANDIDATE_BITS = 17, 23
 LEADING, LEADERS = 3, 2  # rarest words that look for leaders, leaders of a word and band
+ROUNDS = 4  # parts of the words that are joined one after the other
 
 
 def _plain(body: Column) -> Column:
@@ -66,14 +70,25 @@ def _parity(h: Column) -> Column:
     return F.aggregate(h, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(low).cast("int"))))
 
 
-def _flags(lines: DataFrame) -> DataFrame:
-    """One row: a bit for each line (id, line) by its hash, as an array of 64-bit words."""
-    place = F.xxhash64("id", "line").bitwiseAND(F.lit((1 << CANDIDATE_BITS) - 1))
-    bits = lines.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+def _place(*key: str) -> Column:
+    return F.xxhash64(*key).bitwiseAND(F.lit((1 << CANDIDATE_BITS) - 1))
+
+
+def _flagged(rows: DataFrame, *key: str) -> Column:
+    """Is a bit of fixed number, by the hash of ``key``, set by one of ``rows``? True for each of their keys, and for some
+    others."""
+    place = _place(*key)
+    bits = rows.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    every = lines.sparkSession.range(1 << (CANDIDATE_BITS - 6)).withColumnRenamed("id", "word").join(words, "word", "left")
+    every = rows.sparkSession.range(1 << (CANDIDATE_BITS - 6)).withColumnRenamed("id", "word").join(words, "word", "left")
     ordered = every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("a"))
-    return ordered.select(F.transform("a", lambda s: s["bits"]).alias("flags"))
+    flags = ordered.select(F.transform("a", lambda s: s["bits"]).alias("flags")).scalar()
+    return F.call_function("getbit", F.get(flags, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _shared(n: Column) -> Column:
+    """How many words of the prefixes two sets of this size or more must share, if they are similar."""
+    return 1 + 2 * F.shiftright(n, 6)
 
 
 def _set_hash() -> Column:
@@ -87,7 +102,8 @@ def _classes(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]
     ranks = F.sort_array(F.transform("h", lambda h: F.shiftleft(F.get(rarity, _bucket(h).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
     ranked = _sets(_cut(rows)).select("id", "line", _set_hash().alias("x"), ranks.alias("r"))
     size = F.size("r")
-    prefix = F.slice("r", F.lit(1), F.greatest(size - F.floor((size * num + den - 1) / den).cast("int") + 1, F.lit(0)))
+    longest = F.least(size - F.floor((size * num + den - 1) / den).cast("int") + _shared(size), size)
+    prefix = F.transform(F.slice("r", F.lit(1), longest), lambda r: r.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
     named = ranked.select("id", "line", "x", F.hash("r").alias("y"), size.alias("n"), _parity(F.col("r")).alias("p"), prefix.alias("prefix"))
     lines = settle(named, "lines").where("n > 0")
     classes = lines.groupBy("x", "y", "n").agg(F.min(F.struct("id", "line")).alias("first"), F.first("p").alias("p"), F.first("prefix").alias("prefix"))
@@ -95,21 +111,26 @@ def _classes(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]
 
 
 def _tuples(classes: DataFrame, prefix: Column) -> DataFrame:
-    """A row for each class and word of its prefix: the word (32 bits of its hash are enough to meet), the class, its
+    """A row for each class and word of its prefix: the word (31 bits of its hash are enough to meet), the class, its
     first line, its parity map, and ``m``: its size, the word's place, and whether it is beaten already."""
     each = classes.select(F.posexplode(prefix).alias("at", "w"), "x", "n", "p", "out", F.col("first.id").alias("id"), F.col("first.line").alias("line"))
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR(F.col("out"))
-    return each.select(F.col("w").bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int").alias("w"), packed.alias("m"), "x", "p", "id", "line")
+    return each.select("w", packed.alias("m"), "x", "p", "id", "line")
+
+
+def _need(a: str, b: str) -> Column:
+    return _shared(F.least(F.shiftright(F.col(f"{a}.m"), 32), F.shiftright(F.col(f"{b}.m"), 32)))
 
 
 def _may_beat(a: str, b: str, num: int, den: int) -> Column:
-    """Is ``b`` not beaten yet, ``a`` earlier, and do lengths, positions and parity maps let it be similar?"""
+    """Is ``b`` not beaten yet, ``a`` earlier, and do lengths, positions and parity maps let it be similar? Positions as
+    the first words that both must share have them."""
     c = lambda t, k: F.col(f"{t}.{k}")
     n = lambda t: F.shiftright(c(t, "m"), 32)
     left = lambda t: n(t) - F.shiftright(c(t, "m").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
     total = n(a) + n(b)
     return (
-        (F.least(left(a), left(b)) * (num + den) >= total * num)
+        ((F.least(left(a), left(b)) + _need(a, b) - 1) * (num + den) >= total * num)
         & (F.bit_count(c(a, "p").bitwiseXOR(c(b, "p"))) * (num + den) <= total * (den - num))
         & (F.least(n(a), n(b)) * den >= F.greatest(n(a), n(b)) * num)
         # a part of a comparison of both sides, so that both read one shuffle
@@ -122,10 +143,7 @@ def _beaten(pairs: DataFrame, classes: DataFrame, rows: DataFrame, num: int, den
     are gathered: a bit map of fixed size finds their lines, a join confirms them."""
     some = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
     wanted = settle(classes.join(some, "x").select("x", "first.id", "first.line"), "wanted")
-    flags = _flags(wanted).scalar()
-    place = F.xxhash64("id", "line").bitwiseAND(F.lit((1 << CANDIDATE_BITS) - 1))
-    hit = F.call_function("getbit", F.get(flags, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
-    sets = _sets(_cut(rows).where(hit)).withColumn("x", _set_hash()).join(wanted, ["id", "line", "x"]).select("x", "h").dropDuplicates(["x"])
+    sets = _sets(_cut(rows).where(_flagged(wanted, "id", "line"))).withColumn("x", _set_hash()).join(wanted, ["id", "line", "x"]).select("x", "h").dropDuplicates(["x"])
     both = pairs.join(sets.select(F.col("x").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("x").alias("b"), F.col("h").alias("hb")), "b")
     out = settle(both.where(F.size(F.array_intersect("ha", "hb")) * (num + den) >= (F.size("ha") + F.size("hb")) * num).select(F.col("b").alias("x")).distinct(), "beaten")
     forget(wanted)
@@ -143,15 +161,27 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     band = F.floor(F.log(F.shiftright("m", 32)) / F.log(F.lit(den / num))).cast("int")
     leading = _tuples(open_.withColumn("out", F.lit(0).cast("long")), F.slice("prefix", 1, LEADING)).withColumn("band", band)
-    leaders = leading.groupBy("w", "band", F.pmod("x", F.lit(LEADERS))).agg(F.min(F.struct("id", "line", "x", "m", "p")).alias("a")).select("w", "band", "a.*")
-    met = leading.alias("b").join(leaders.alias("a"), ["w", "band"]).where(_may_beat("a", "b", num, den))
-    led = settle(met.select(F.col("a.x").alias("a"), F.col("b.x").alias("b")).distinct(), "led")
+    first = F.struct("id", "line", "x", "m", "p")
+    leaders = leading.groupBy("w", "band").agg(*[F.min(F.when(F.pmod("x", F.lit(LEADERS)) == k, first)).alias(f"a{k}") for k in range(LEADERS)])
+    met = leading.alias("b").join(leaders, ["w", "band"])
+    tried = [F.when(_may_beat(f"a{k}", "b", num, den), F.struct(F.col(f"a{k}.x").alias("a"), _need(f"a{k}", "b").alias("need"))) for k in range(LEADERS)]
+    met = met.select(F.explode(F.array_compact(F.array(*tried))).alias("by"), F.col("b.x").alias("b")).groupBy("by.a", "b").agg(F.count("*").alias("k"), F.max("by.need").alias("need"))
+    led = settle(met.where(F.col("k") >= F.least("need", F.lit(2))).select("a", "b"), "led")
     beaten = _beaten(led, classes, rows, num, den)
 
-    told = open_.join(beaten.withColumn("out", F.lit(1).cast("long")), "x", "left").withColumn("out", F.coalesce("out", F.lit(0).cast("long")))
-    words = _tuples(told, F.col("prefix"))
-    met = words.alias("a").join(words.alias("b"), (F.col("a.w") == F.col("b.w")) & _may_beat("a", "b", num, den))
-    pairs = settle(met.select(F.col("a.x").alias("a"), F.col("b.x").alias("b")).distinct().join(led, ["a", "b"], "left_anti"), "pairs")
+    # Few are beaten: only classes that may be among them are joined.
+    asked = open_.withColumn("_may", _flagged(beaten, "x"))
+    some = asked.where("_may").join(beaten.withColumn("out", F.lit(1).cast("long")), "x", "left").withColumn("out", F.coalesce("out", F.lit(0).cast("long")))
+    told = settle(asked.where("not _may").withColumn("out", F.lit(0).cast("long")).unionByName(some).drop("_may"), "told")
+    met = []
+    for k in range(ROUNDS):
+        words = _tuples(told, F.col("prefix")).where(F.pmod("w", F.lit(ROUNDS)) == k)
+        both = words.alias("a").join(words.alias("b"), (F.col("a.w") == F.col("b.w")) & _may_beat("a", "b", num, den))
+        met.append(settle(both.select(F.col("a.x").alias("a"), F.col("b.x").alias("b"), _need("a", "b").alias("need")), "met"))
+    forget(told)
+    shared = reduce(DataFrame.unionByName, met).groupBy("a", "b").agg(F.count("*").alias("k"), F.max("need").alias("need"))
+    pairs = settle(shared.where("k >= need").select("a", "b").join(led, ["a", "b"], "left_anti"), "pairs")
+    forget(*met)
     beaten = beaten.unionByName(_beaten(pairs, classes, rows, num, den))
     forget(led, pairs)
 

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from braidline.llm import line_dedup
 from braidline.llm.common import shared_path
 from braidline.llm.components import components
 from braidline.llm.embedding_dups import audited_beam, embedding_dups, unit
@@ -136,6 +137,26 @@ def test_line_dedup(spark):
     assert line_verdicts(docs(spark, [])).count() == 0
 
 
+def test_long_lines_that_share_few_rare_words_are_not_candidates(spark, monkeypatch):
+    """Random long lines, whose parity maps say nothing, with one similar pair: of all pairs only that one is verified."""
+    rng = random.Random(9)
+    words = [f"v{k}" for k in range(2000)]
+    lines = [rng.sample(words, k=rng.randint(150, 300)) for _ in range(120)]
+    lines.append([*lines[7][:-9], *rng.sample(words, k=9)])
+    seen = []
+
+    def beaten(pairs, *rest):
+        seen.append(pairs.count())
+        return verified(pairs, *rest)
+
+    verified = line_dedup._beaten
+    monkeypatch.setattr(line_dedup, "_beaten", beaten)
+    got = {r.doc_id: r.n_removed for r in line_verdicts(docs(spark, [" ".join(x) for x in lines])).collect()}
+    sets = [set(x) for x in lines]
+    assert got == {k: int(any(5 * len(s & o) >= 4 * len(s | o) for o in sets[:k])) for k, s in enumerate(sets)}
+    assert sum(got.values()) == 1 and sum(seen) < 60
+
+
 def test_embedding_dups(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 16))
