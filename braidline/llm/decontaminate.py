@@ -212,9 +212,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     id_type = rows.schema["id"].dataType.simpleString()
     limit = int(round(1 / share))
     shape = f"id {id_type}, mark long, n_words long, starts array<int>, ends array<int>, items array<string>"
+    told = f"id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_ranges array<string>, items array<string>"
     marked = rows.withColumn("mark", F.xxhash64("body"))
     found: list[DataFrame] = []
-    for shared in _shared_blocks(rows, items, window, shingle, block_bytes):
+    blocks = _shared_blocks(rows, items, window, shingle, block_bytes)
+
+    def finished(batch):
+        hit, joined, ranges = [], [], []
+        for a, b, o in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), batch.column("items").to_pylist(), strict=True):
+            spans = united(list(zip(a, b, strict=True)))
+            ranges.append([f"{x}:{y}" for x, y in spans])
+            hit.append(sum(y - x for x, y in spans))
+            joined.append(hashlib.sha256(",".join(sorted(o)).encode()).hexdigest())
+        n = batch.column("n_words").to_pylist()
+        owners = batch.column("items").to_pylist()
+        return pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(o) for o in owners], pa.int64()), pa.array(joined, pa.string()), pa.array([h > 0 and limit * h >= k for h, k in zip(hit, n, strict=True)], pa.bool_()), pa.array(ranges, pa.list_(pa.string())), pa.array([sorted(o) for o in owners], pa.list_(pa.string()))],
+            ["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_ranges", "items"],
+        )
+
+    for shared in blocks:
 
         def run(batches, shared=shared):
             block = shared.value
@@ -228,31 +245,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     starts.append([a for a, _ in ranges])
                     ends.append([b for _, b in ranges])
                     owners.append(sorted(got))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(owners, pa.list_(pa.string()))], ["id", "mark", "n_words", "starts", "ends", "items"])
+                got = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(owners, pa.list_(pa.string()))], ["id", "mark", "n_words", "starts", "ends", "items"])
+                yield finished(got) if len(blocks) == 1 else got
 
+        if len(blocks) == 1:  # one Python worker for each task does both steps
+            return marked.mapInArrow(run, told).withColumnRenamed("id", id_col)
         found.append(marked.mapInArrow(run, shape))
+    # What the blocks found in a row is united; a row that stands k times comes k times from each block.
     merged = reduce(DataFrame.unionByName, found)
-    if len(found) > 1:  # what the blocks found in a row is united; a row that stands k times comes k times from each block
-        same = merged.groupBy("id", "mark").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / len(found)).cast("int").alias("times"))
-        merged = same.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).drop("times")
-    merged = merged.drop("mark")
-
-    def finish(batches):
-        for batch in batches:
-            hit, joined, ranges = [], [], []
-            for a, b, o in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                spans = united(list(zip(a, b, strict=True)))
-                ranges.append([f"{x}:{y}" for x, y in spans])
-                hit.append(sum(y - x for x, y in spans))
-                joined.append(hashlib.sha256(",".join(sorted(o)).encode()).hexdigest())
-            n = batch.column(1).to_pylist()
-            owners = batch.column(4).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array([len(o) for o in owners], pa.int64()), pa.array(joined, pa.string()), pa.array([h > 0 and limit * h >= k for h, k in zip(hit, n, strict=True)], pa.bool_()), pa.array(ranges, pa.list_(pa.string())), pa.array([sorted(o) for o in owners], pa.list_(pa.string()))],
-                ["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_ranges", "items"],
-            )
-
-    return merged.mapInArrow(finish, f"id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_ranges array<string>, items array<string>").withColumnRenamed("id", id_col)
+    same = merged.groupBy("id", "mark").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / len(found)).cast("int").alias("times"))
+    merged = same.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).drop("times", "mark")
+    return merged.mapInArrow(lambda batches: map(finished, batches), told).withColumnRenamed("id", id_col)
 
 
 def _shared_blocks(rows: DataFrame, items: DataFrame, window: int, shingle: int, block_bytes: int) -> list:

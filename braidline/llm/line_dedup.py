@@ -2,9 +2,9 @@
 
 A line is the set of its distinct lower-cased words. Equal sets are one class. The words of a set are ordered by rarity
 and only a prefix of them is joined: two sets with Jaccard similarity of ``num``/``den`` or more share a word there. The
-lengths of the sets, the positions of the shared word and a 64-bit parity map of the sets bound their overlap, all
-within the join's condition. Long sets, for which the map is too dense, have longer prefixes and must share more words
-there. What is left is verified on the whole sets. A line goes if an earlier line, by document id and line number, is
+lengths of the sets, the positions of the shared word and parity maps of the sets bound their overlap, all within the
+join's condition: 64 bits for short sets, 256 for long ones, for which 64 are too dense. Long sets have longer prefixes,
+too, and must share more words there. What is left is verified on the whole sets. A line goes if an earlier line, by document id and line number, is
 that similar to it.
 
 One witness suffices, so a group of near copies isn't listed pair by pair. First each class meets a few leaders: the
@@ -27,6 +27,8 @@ from .common import forget, settle, text_rows
 RARITY_BITS, CANDIDATE_BITS = 17, 23
 LEADING, LEADERS = 3, 2  # rarest words that look for leaders, leaders of a word and band
 ROUNDS = 4  # parts of the words that are joined one after the other
+LONG = 56  # words from which a set has a wide parity map
+QUARTERS = ("q1", "q2", "q3")  # of the wide map; the parity map is the sum of all four
 
 
 def _plain(body: Column) -> Column:
@@ -70,6 +72,12 @@ def _parity(h: Column) -> Column:
     return F.aggregate(h, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(low).cast("int"))))
 
 
+def _quarter(h: Column, k: int) -> Column:
+    """The parity map of a quarter of the words, for long sets."""
+    own = F.filter(h, lambda x: x.bitwiseAND(F.lit(192).cast("long")) == F.lit(64 * k).cast("long"))
+    return F.when(F.size(h) >= LONG, _parity(own)).otherwise(F.lit(0).cast("long"))
+
+
 def _place(*key: str) -> Column:
     return F.xxhash64(*key).bitwiseAND(F.lit((1 << CANDIDATE_BITS) - 1))
 
@@ -97,31 +105,41 @@ def _set_hash() -> Column:
 
 
 def _classes(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(id, line, x, y, n) for each line with words, and for each class its first line, prefix and parity map."""
+    """(id, line, x, y, n) for each line with words, and for each class its first line, how many lines it has, its prefix
+    and parity maps."""
     rarity = _rarity(rows)
     ranks = F.sort_array(F.transform("h", lambda h: F.shiftleft(F.get(rarity, _bucket(h).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
     ranked = _sets(_cut(rows)).select("id", "line", _set_hash().alias("x"), ranks.alias("r"))
     size = F.size("r")
     longest = F.least(size - F.floor((size * num + den - 1) / den).cast("int") + _shared(size), size)
     prefix = F.transform(F.slice("r", F.lit(1), longest), lambda r: r.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
-    named = ranked.select("id", "line", "x", F.hash("r").alias("y"), size.alias("n"), _parity(F.col("r")).alias("p"), prefix.alias("prefix"))
-    lines = settle(named, "lines").where("n > 0")
-    classes = lines.groupBy("x", "y", "n").agg(F.min(F.struct("id", "line")).alias("first"), F.first("p").alias("p"), F.first("prefix").alias("prefix"))
-    return lines.select("id", "line", "x", "y", "n"), settle(classes, "classes")
+    named = ranked.select("id", "line", "x", F.hash("r").alias("y"), size.alias("n"), _parity(F.col("r")).alias("p"), *(_quarter(F.col("r"), k).alias(q) for k, q in enumerate(QUARTERS, 1)), prefix.alias("prefix"))
+    lines = settle(named, "lines")
+    classes = lines.where("n > 0").groupBy("x", "y", "n").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("p", *QUARTERS, "prefix")))
+    return lines, settle(classes, "classes")
 
 
-def _tuples(classes: DataFrame, prefix: Column) -> DataFrame:
+def _tuples(classes: DataFrame, prefix: Column, *maps: str) -> DataFrame:
     """A row for each class and word of its prefix: the word (31 bits of its hash are enough to meet), the class, its
-    first line, its parity map, and ``m``: its size, the word's place, and whether it is beaten already."""
-    each = classes.select(F.posexplode(prefix).alias("at", "w"), "x", "n", "p", "out", F.col("first.id").alias("id"), F.col("first.line").alias("line"))
+    first line, its parity map and those of ``maps``, and ``m``: its size, the word's place, and whether it is beaten
+    already."""
+    each = classes.select(F.posexplode(prefix).alias("at", "w"), "x", "n", "p", *maps, "out", F.col("first.id").alias("id"), F.col("first.line").alias("line"))
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR(F.col("out"))
-    return each.select("w", packed.alias("m"), "x", "p", "id", "line")
+    return each.select("w", packed.alias("m"), "x", "p", *maps, "id", "line")
 
 
 def _need(a: str, b: str) -> Column:
     return _shared(F.least(F.shiftright(F.col(f"{a}.m"), 32), F.shiftright(F.col(f"{b}.m"), 32)))
 
 
+def _wide_apart(a: str, b: str) -> Column:
+    """In how many of 256 bits the wide parity maps differ; 0 if one of the sets is short and has none."""
+    n = lambda t: F.shiftright(F.col(f"{t}.m"), 32)
+    parts = [F.col(f"{a}.{q}").bitwiseXOR(F.col(f"{b}.{q}")) for q in QUARTERS]
+    last = reduce(lambda x, y: x.bitwiseXOR(y), parts, F.col(f"{a}.p").bitwiseXOR(F.col(f"{b}.p")))
+    return F.when(F.least(n(a), n(b)) >= LONG, reduce(lambda x, y: x + y, map(F.bit_count, [*parts, last]))).otherwise(0)
+
+
 def _may_beat(a: str, b: str, num: int, den: int) -> Column:
     """Is ``b`` not beaten yet, ``a`` earlier, and do lengths, positions and parity maps let it be similar? Positions as
     the first words that both must share have them."""
@@ -140,10 +158,10 @@ def _may_beat(a: str, b: str, num: int, den: int) -> Column:
 
 def _beaten(pairs: DataFrame, classes: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
     """(x): the second of those ``pairs`` (a, b) whose whole sets are similar enough. Only the sets that occur in pairs
-    are gathered: a bit map of fixed size finds their lines, a join confirms them."""
+    are gathered: bit maps of fixed size find their rows and lines, a join confirms them."""
     some = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
     wanted = settle(classes.join(some, "x").select("x", "first.id", "first.line"), "wanted")
-    sets = _sets(_cut(rows).where(_flagged(wanted, "id", "line"))).withColumn("x", _set_hash()).join(wanted, ["id", "line", "x"]).select("x", "h").dropDuplicates(["x"])
+    sets = _sets(_cut(rows.where(_flagged(wanted, "id"))).where(_flagged(wanted, "id", "line"))).withColumn("x", _set_hash()).join(wanted, ["id", "line", "x"]).select("x", "h").dropDuplicates(["x"])
     both = pairs.join(sets.select(F.col("x").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("x").alias("b"), F.col("h").alias("hb")), "b")
     out = settle(both.where(F.size(F.array_intersect("ha", "hb")) * (num + den) >= (F.size("ha") + F.size("hb")) * num).select(F.col("b").alias("x")).distinct(), "beaten")
     forget(wanted)
@@ -170,24 +188,32 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     beaten = _beaten(led, classes, rows, num, den)
 
     # Few are beaten: only classes that may be among them are joined.
-    asked = open_.withColumn("_may", _flagged(beaten, "x"))
-    some = asked.where("_may").join(beaten.withColumn("out", F.lit(1).cast("long")), "x", "left").withColumn("out", F.coalesce("out", F.lit(0).cast("long")))
-    told = settle(asked.where("not _may").withColumn("out", F.lit(0).cast("long")).unionByName(some).drop("_may"), "told")
+    none = F.lit(0).cast("long")
+    asked = open_.drop("y", "copies").withColumn("_may", _flagged(beaten, "x"))
+    some = asked.where("_may").join(beaten.withColumn("out", F.lit(1).cast("long")), "x", "left").withColumn("out", F.coalesce("out", none))
+    told = settle(asked.where("not _may").withColumn("out", none).unionByName(some).drop("_may"), "told")
+    near = _wide_apart("a", "b") * (num + den) <= (F.shiftright("a.m", 32) + F.shiftright("b.m", 32)) * (den - num)
     met = []
     for k in range(ROUNDS):
-        words = _tuples(told, F.col("prefix")).where(F.pmod("w", F.lit(ROUNDS)) == k)
-        both = words.alias("a").join(words.alias("b"), (F.col("a.w") == F.col("b.w")) & _may_beat("a", "b", num, den))
+        words = _tuples(told, F.col("prefix"), *QUARTERS).where(F.pmod("w", F.lit(ROUNDS)) == k)
+        both = words.alias("a").join(words.alias("b"), (F.col("a.w") == F.col("b.w")) & _may_beat("a", "b", num, den) & near)
         met.append(settle(both.select(F.col("a.x").alias("a"), F.col("b.x").alias("b"), _need("a", "b").alias("need")), "met"))
     forget(told)
     shared = reduce(DataFrame.unionByName, met).groupBy("a", "b").agg(F.count("*").alias("k"), F.max("need").alias("need"))
     pairs = settle(shared.where("k >= need").select("a", "b").join(led, ["a", "b"], "left_anti"), "pairs")
     forget(*met)
-    beaten = beaten.unionByName(_beaten(pairs, classes, rows, num, den))
+    later = _beaten(pairs, classes, rows, num, den)
+    every = beaten.unionByName(later)
     forget(led, pairs)
 
-    known = classes.select("x", "y", "n", "first").join(beaten.distinct().withColumn("beaten", F.lit(True)), "x", "left")
-    gone = lines.join(known, ["x", "y", "n"]).where((F.struct("id", "line") != F.col("first")) | F.coalesce("beaten", F.lit(False)))
-    return gone.select("id", "line").distinct()
+    # A class of one line that isn't beaten loses nothing: only the other classes meet their lines.
+    told = classes.select("x", "y", "n", "first", "copies").where((F.col("copies") > 1) | _flagged(every, "x"))
+    known = told.join(every.distinct().withColumn("beaten", F.lit(True)), "x", "left").withColumn("beaten", F.coalesce("beaten", F.lit(False)))
+    known = settle(known.where("beaten or copies > 1").select("x", "y", "n", "first", "beaten"), "known")
+    gone = lines.select("id", "line", "x", "y", "n").where(_flagged(known, "x") & (F.col("n") > 0)).join(known, ["x", "y", "n"])
+    gone = settle(gone.where((F.struct("id", "line") != F.col("first")) | F.col("beaten")).select("id", "line").distinct(), "gone")
+    forget(lines, classes, beaten, later, known)
+    return gone
 
 
 def line_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -255,7 +255,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     best = led.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
     links = settle(_verified(best, sets, num, den, id_type), "linked")
-    groups = components(links)
+    groups, direct = components(links), links
     rest = settle(_verified(_apart(led.select("a", "b"), groups).join(best, ["a", "b"], "left_anti"), sets, num, den, id_type), "linked")
     forget(groups, sets)
     links = links.unionByName(rest)
@@ -270,7 +270,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     small, large = open_.where(F.col("n") * num <= LARGE * den), open_.where(F.col("n") > LARGE).join(wide, ["id", "n"]).select("sig", "id", "component", "n", *MARKS, *_folded("wide"))
     pairs = small.alias("x").join(small.alias("y"), met & (F.least("x.n", "y.n") <= LARGE)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     pairs = pairs.unionByName(large.alias("x").join(large.alias("y"), met & ~_differ([(F.col(f"x.w{k}"), F.col(f"y.w{k}")) for k in range(FOLDED)], F.col("x.n"), F.col("y.n"), num, den)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-    pairs = settle(pairs.distinct().join(led.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    pairs = met_again = settle(pairs.distinct().join(led.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     # Of the pairs left, the large ones are looked at through the whole of their sketches.
     both = pairs.join(wide.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("x")), "a", "left").join(wide.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("y")), "b", "left")
     apart = _differ([(F.get("x", F.lit(k)), F.get("y", F.lit(k))) for k in range(WIDE)], F.col("na"), F.col("nb"), num, den)
@@ -285,4 +285,6 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     named = sizes.where("id is not null").select("id", "n", F.col("id").alias("name"))
     nameless = sizes.where("id is null").join(first.select("key", F.col("rep").alias("name")), "key", "left").select("id", "n", "name")
     out = named.unionByName(nameless).join(final.select(F.col("id").alias("name"), "component"), "name", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "name").alias("component_id"))
+    out = settle(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "name").alias("component_id")), "joined")
+    forget(sizes, first, reps, direct, rest, met_again, last, final)
+    return out

@@ -401,5 +401,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", re
                 content, meta = _views_of(shared.value, batch)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(np.round(shared.value.score(content, meta, k), 6)) for k in LABELS)], ["id", "p_low", "p_toxic"])
 
-    scored = features.mapInArrow(run, f"id {id_type}, p_low double, p_toxic double")
+    scored = settle(features.mapInArrow(run, f"id {id_type}, p_low double, p_toxic double"), "scores")
+    forget(features)
     return scored.select(F.col("id").alias(id_col), "p_low", "p_toxic", ((F.col("p_low") >= reject_low) | (F.col("p_toxic") >= reject_toxic)).alias("rejected"))

@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 from braidline.llm import line_dedup
+from braidline.llm import ngram_join as ngram_module
+from braidline.llm import quality as quality_module
 from braidline.llm.common import shared_path
 from braidline.llm.components import components
 from braidline.llm.embedding_dups import audited_beam, embedding_dups, unit
@@ -137,6 +139,53 @@ def test_line_dedup(spark):
     assert line_verdicts(docs(spark, [])).count() == 0
 
 
+def test_lines_whose_parity_map_is_dense_are_told_apart_by_wide_maps(spark, monkeypatch):
+    """Random lines of many words from a small vocabulary: they share words of their prefixes, and 64 bits of parity say
+    little; of all that meet, few are similar, and nothing is lost."""
+    rng = random.Random(11)
+    words = [f"v{k}" for k in range(500)]
+    lines = [rng.sample(words, k=rng.randint(130, 180)) for _ in range(150)]
+    lines += [[*x[: len(x) - 12], *rng.sample(words, k=12)] for x in lines[:10]]
+    met, settled = [], line_dedup.settle
+
+    def settle(df, tag):
+        out = settled(df, tag)
+        if tag == "met":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "settle", settle)
+    got = {r.doc_id: r.n_removed for r in line_verdicts(docs(spark, [" ".join(x) for x in lines])).collect()}
+    sets = [set(x) for x in lines]
+    want = {k: int(any(5 * len(x & y) >= 4 * len(x | y) for y in sets[:k])) for k, x in enumerate(sets)}
+    assert got == want and sum(want.values()) >= 5
+    assert sum(met) < 200, met
+
+
+def test_operators_leave_small_tables_behind(spark, tmp_path, monkeypatch):
+    """What an operator writes on its way goes before its rows are read: only its answer stays on disk."""
+    made, forgotten = {}, set()
+    for module in (line_dedup, ngram_module, quality_module):
+        settled, forgot = module.settle, module.forget
+
+        def settle(df, tag, settled=settled):
+            out = settled(df, tag)
+            made[out._braidline_path] = tag
+            return out
+
+        def forget(*frames, forgot=forgot):
+            forgotten.update(getattr(f, "_braidline_path", None) for f in frames)
+            forgot(*frames)
+
+        monkeypatch.setattr(module, "settle", settle)
+        monkeypatch.setattr(module, "forget", forget)
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    dedup_lines(texts).count()
+    ngram_join(texts).count()
+    score_quality(texts, spark.read.parquet("/root/testdata/sf0.001/labels.parquet")).count()
+    assert sorted(tag for path, tag in made.items() if path not in forgotten) == ["gone", "joined", "scores"]
+
+
 def test_long_lines_that_share_few_rare_words_are_not_candidates(spark, monkeypatch):
     """Random long lines, whose parity maps say nothing, with one similar pair: of all pairs only that one is verified."""
     rng = random.Random(9)

@@ -92,6 +92,12 @@ def test_decontaminate_repeated_rows_and_empty_tables(spark):
     assert {r.n_hit for r in dec.decontaminate(rows, bench.limit(0)).collect()} == {0}
 
 
+def test_a_task_of_decontaminate_has_one_python_worker(spark):
+    bench = spark.createDataFrame([("a", "one two three")], "item_id string, text string")
+    plan = dec.decontaminate(docs(spark, ["one two three four"]), bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 SECRETS = [None, "", 'password = "abcdefgh1"', "token:short", "TOKEN: 'x1234567' api_key=ABCDEFGHIJ", "AKIA" + "Z" * 12, "AKIAZ", "f" * 32 + " " + "a" * 31, "é" * 5 + "secret=12345678é" + "0" * 40, "paſſword=12345678", "username=bob secret=abcdefgh host=db.example.com https://h.example/x", "Zq3xR7pLm2Vb9Kt4Wn8y AKIAABCDEFGHIJKL", "Zq3xR7pLm2Vb9Kt4Wn8y", "secret = password = abcdefgh1"]
 
 
