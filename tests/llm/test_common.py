@@ -43,3 +43,23 @@ def test_settled_tables_are_read_back_and_forgotten(spark):
     common.forget(df)
     with pytest.raises(Exception):  # noqa: B017
         df.collect()
+
+
+def test_executors_give_back_what_an_operator_took(spark):
+    def keep(batches):
+        for batch in batches:
+            common.kept(("taken",), lambda: [0] * 1000)
+            yield batch
+
+    def look(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common._kept)], pa.int64())], ["id"])
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, 4 * cores, 1, 4 * cores).mapInArrow(keep, "id long").collect()
+    assert common.give_back(spark) == 2 * cores
+    # A worker that idled meanwhile may still keep something; those that answered don't.
+    kept = [r.id for r in spark.range(0, 1, 1, 1).mapInArrow(look, "id long").collect()]
+    assert kept == [0]

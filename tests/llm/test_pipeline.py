@@ -47,3 +47,13 @@ def test_near_copies_with_two_changed_words_go(spark):
     texts = [" ".join(words), " ".join(changed), " ".join(more), None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in pipeline.near_copies(spark, docs, FOLDER).collect()} == {0, 2, 3}
+
+
+def test_stages_begin_with_memory_given_back(spark, monkeypatch):
+    import corpus_pipeline
+
+    asked = []
+    monkeypatch.setattr(corpus_pipeline, "give_back", asked.append)
+    docs = spark.createDataFrame([(1, "a b c", "en", "web", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert dict(corpus_pipeline.STAGES)["sentencepiece"](spark, docs, "/nowhere").count() == 1
+    assert asked == [spark]
