@@ -57,3 +57,21 @@ def test_stages_begin_with_memory_given_back(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c", "en", "web", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     assert dict(corpus_pipeline.STAGES)["sentencepiece"](spark, docs, "/nowhere").count() == 1
     assert asked == [spark]
+
+
+def test_lines_run_no_python_and_find_memory_given_back(spark, monkeypatch):
+    """Line dedup is for DataFrame functions alone: the stage before gives back what its Python workers took."""
+    import corpus_pipeline
+
+    asked, scored = [], corpus_pipeline.score_quality
+
+    def score(*args):
+        asked.append("scored")
+        return scored(*args)
+
+    monkeypatch.setattr(corpus_pipeline, "score_quality", score)
+    monkeypatch.setattr(corpus_pipeline, "give_back", lambda _: asked.append("given back"))
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{FOLDER}/documents.parquet")
+    kept = stages["quality"](spark, docs, FOLDER)
+    assert asked == ["scored", "given back"]
+    assert stages["line_dedup"](spark, kept, FOLDER).count() == kept.count() and asked == ["scored", "given back"]
