@@ -162,6 +162,46 @@ def test_lines_whose_parity_map_is_dense_are_told_apart_by_wide_maps(spark, monk
     assert sum(met) < 200, met
 
 
+def variants(count: int) -> list[set[str]]:
+    """Versions of a few long lines, some pairs of which are just similar, some just not."""
+    rng = random.Random(12)
+    words = [f"v{k}" for k in range(4000)]
+    bases, made = [rng.sample(words, k=90) for _ in range(4)], []
+    for k in range(4 * count):
+        line = list(bases[k % 4])
+        for at in rng.sample(range(90), k=5):
+            line[at] = rng.choice(words)
+        made.append(set(line))
+    return made
+
+
+def test_most_versions_of_a_line_are_beaten_before_classes_are_joined(spark, monkeypatch):
+    """Their rarest words are what sets them apart, so leaders are found by other words of their prefixes, too."""
+    sets, met, settled = variants(120), [], line_dedup.settle
+
+    def settle(df, tag):
+        out = settled(df, tag)
+        if tag == "met":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "settle", settle)
+    got = {r.doc_id: r.n_removed for r in line_verdicts(docs(spark, [" ".join(sorted(x)) for x in sets])).collect()}
+    assert got == {k: int(any(5 * len(x & y) >= 4 * len(x | y) for y in sets[:k])) for k, x in enumerate(sets)}
+    assert sum(met) < 40_000, met
+
+
+def test_sets_of_very_different_sizes_meet_in_their_bands(spark):
+    """A set and the largest or smallest one that is similar to it, whichever comes first; one word more is too many."""
+    lines, want = [], []
+    for size in (4, 5, 8, 20, 45, 55, 56, 64, 100, 255, 256, 320, 500):
+        most = size * 5 // 4
+        for pair, similar in (((size, most), True), ((most, size), True), ((size, most + 1), False), ((most + 1, size), False)):
+            lines += [" ".join(f"v{len(want)}x{k}" for k in range(n)) for n in pair]
+            want += [0, int(similar)]
+    assert [r.n_removed for r in line_verdicts(docs(spark, lines)).orderBy("doc_id").collect()] == want
+
+
 def test_operators_leave_small_tables_behind(spark, tmp_path, monkeypatch):
     """What an operator writes on its way goes before its rows are read: only its answer stays on disk."""
     made, forgotten = {}, set()
